@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fathom.llm import quality_rules, simhash, token_counts
+from fathom.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
