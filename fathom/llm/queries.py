@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fathom.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash, token_counts
+from fathom.llm import decontaminate, license_scan, line_dedup, packing, quality_cnn, quality_rules, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality_cnn": quality_cnn.op3_quality_cnn,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
