@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,5 +172,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``, all columns as they are; taken in the same bounded blocks."""
+    blocks = max(1, -(-benchmark.count() // (BLOCK_ITEMS // 2)))
+    for b in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        items = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
+        docs = docs.where(_clean(items)("text"))
+    return docs
+
+
+def _clean(items):
+    matchers: list[Matcher] = []
+
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        if not matchers:
+            matchers.append(Matcher(items))
+        return text.map(lambda t: not matchers[0].find(t))
+
+    return clean
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -116,6 +116,49 @@ def language_references(docs: DataFrame, lang_col: str = "lang") -> dict[str, tu
     return out
 
 
+class Judge:
+    """Base counts and verdict of a text."""
+
+    def __init__(self, references, max_char, max_word, min_chars, min_words):
+        self.refs = [(c, {w: i for i, w in enumerate(ws)}, n) for c, ws, n in references.values()]
+        self.limits = max_char, max_word, min_chars, min_words
+
+    def __call__(self, text: str | None) -> tuple:
+        max_char, max_word, min_chars, min_words = self.limits
+        text = text or ""
+        n, chars, symbols, dup, repeat = base_rules(text)
+        char_d = word_d = None
+        if self.refs and len(text) >= min_chars:
+            mine = char_classes(text).astype(float)
+            char_d = min(js_distance(mine, c) for c, _, _ in self.refs)
+        if self.refs and n >= min_words:
+            count = Counter(map(plain, text.encode("utf-8", "surrogatepass").split()))
+            ds = []
+            for _, at, ref in self.refs:
+                mine = np.zeros(len(ref))
+                for w, i in at.items():
+                    mine[i] = count.get(w, 0)
+                mine[-1] = n - mine.sum()
+                ds.append(js_distance(mine, ref))
+            word_d = min(ds)
+        failed = n < 50 or 100 * repeat > 50 * n
+        kept = not failed and (char_d is None or char_d <= max_char) and (word_d is None or word_d <= max_word)
+        return n, chars, symbols, dup, repeat, failed, kept, char_d, word_d
+
+
+def kept_only(docs: DataFrame, references: dict, max_char: float = 0.22, max_word: float = 0.36, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    judges: list[Judge] = []
+
+    @F.pandas_udf("boolean")
+    def kept(text: pd.Series) -> pd.Series:
+        if not judges:
+            judges.append(Judge(references, max_char, max_word, min_chars, min_words))
+        return text.map(lambda t: bool(judges[0](t)[6]))
+
+    return docs.where(kept("text"))
+
+
 def quality_rules(docs: DataFrame, references: dict, *, max_char: float = 0.22, max_word: float = 0.36, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """Base counts and the divergence verdict of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -126,30 +169,8 @@ def quality_rules(docs: DataFrame, references: dict, *, max_char: float = 0.22,
     """
 
     def make():
-        refs = [(c, {w: i for i, w in enumerate(ws)}, n) for c, ws, n in references.values()]
-
-        def judge(doc_id, text):
-            text = text or ""
-            n, chars, symbols, dup, repeat = base_rules(text)
-            char_d = word_d = None
-            if refs and len(text) >= min_chars:
-                mine = char_classes(text).astype(float)
-                char_d = min(js_distance(mine, c) for c, _, _ in refs)
-            if refs and n >= min_words:
-                count = Counter(map(plain, text.encode("utf-8", "surrogatepass").split()))
-                ds = []
-                for _, at, ref in refs:
-                    mine = np.zeros(len(ref))
-                    for w, i in at.items():
-                        mine[i] = count.get(w, 0)
-                    mine[-1] = n - mine.sum()
-                    ds.append(js_distance(mine, ref))
-                word_d = min(ds)
-            failed = n < 50 or 100 * repeat > 50 * n
-            kept = not failed and (char_d is None or char_d <= max_char) and (word_d is None or word_d <= max_word)
-            return doc_id, n, chars, symbols, dup, repeat, failed, kept, char_d, word_d
-
-        return lambda cols: list(map(list, zip(*map(judge, cols["doc_id"], cols["text"])))) or None
+        judge = Judge(references, max_char, max_word, min_chars, min_words)
+        return lambda cols: [cols["doc_id"], *map(list, zip(*map(judge, cols["text"])))] if cols["doc_id"] else None
 
     return map_rows(
         docs.select("doc_id", "text"),

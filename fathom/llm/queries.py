@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fathom.llm import decontaminate, license_scan, line_dedup, packing, quality_cnn, quality_rules, simhash, token_counts, toxicity
+from fathom.llm import decontaminate, license_scan, line_dedup, packing, quality_cnn, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
@@ -13,7 +13,9 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_license_scan": license_scan.op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}

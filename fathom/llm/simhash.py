@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, cut, map_rows, table
+from fathom.llm.common import components, cut, map_rows, row_key, table
 
 BLOCK = 2048
 _UPPER = {i: i + 32 for i in range(65, 91)}
@@ -130,15 +130,28 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Null ids stay rows and count as no smallest id; repeated rows stay.
     """
 
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, fp, root, component_id) of every row: root names the class also where all ids are null."""
+
     def make():
-        return lambda cols: [cols["doc_id"], list(map(fingerprint, cols["text"]))]
+        return lambda cols: [cols["row"], cols["doc_id"], list(map(fingerprint, cols["text"]))]
 
-    fps = cut(map_rows(docs.select("doc_id", "text"), "doc_id bigint, fp bigint", make))
+    fps = cut(map_rows(docs.select(row_key().alias("row"), "doc_id", "text"), "row binary, doc_id bigint, fp bigint", make))
     least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(least))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return fps.join(named.select("fp", "root", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the smallest id, null last; among equal ids, by text."""
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    first = classes(docs).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.row").alias("_row"))
+    return docs.withColumn("_row", row_key()).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
