@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python finds it wherever it starts."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).parent.parent
+        path = Path(tempfile.mkdtemp()) / "fathom_package.zip"  # on the driver; Spark serves it
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +53,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], lis
     ``make`` runs once in each task and returns a function from the columns of a
     batch (name to list) to the columns of its output, in the order of ``schema``.
     """
+    ship(df.sparkSession)
     names = [f.name for f in _fields(schema)]
     types = [_ARROW[f.dataType.simpleString()] for f in _fields(schema)]
 
