@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -14,33 +16,62 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut, map_rows, row_key, table
 
 SHARD = 1000
-CACHE = 300_000
+CACHE = 600_000
 
 
 class Ids:
     """Token ids of whole texts as little-endian bytes, remembered by word.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, so
-    a text's ids are those of its words; ``encode`` of the library gives them.
+    a text's ids are those of its words; it also parts Latin letters from the ASCII
+    marks after them. The library encodes what is new, all such parts of a batch in
+    one call: each is one pre-token, and only its last id is that of a word end.
     """
 
+    _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {b"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        out = []
-        for words in split:
-            known = self.known
-            if len(known) > CACHE:
-                known.clear()
-            if new := list({w for w in words if w not in known}):
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        known = self.known
+        if len(known) + len(self.parts) > CACHE:
+            known.clear()
+            self.parts = {b"": b""}
+        self._learn([w for w in set().union(*split) if w not in known])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, parts = self.known, self.parts
+        plain, cores, marks, other = [], [], [], []
+        for w in words:
+            if m := self._PLAIN.fullmatch(w):
+                a, b = m.groups()
+                plain.append(w)
+                cores.append(a)
+                marks.append(b)
+            else:
+                other.append(w)
+        cores = b"\n".join(cores).decode().lower().encode().split(b"\n")
+        new = [x for x in {*cores, *marks} if x not in parts]
+        if new:
+            ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                parts[part], at = raw[at:end], end
+        for w, a, b in zip(plain, cores, marks):
+            known[w] = parts[a] + parts[b]
+        for at in range(0, len(other), 2000):
+            some = other[at : at + 2000]
+            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
