@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,8 @@ from fathom.llm.common import cut, map_rows, table
 
 EMBED, WIDTH, STRIDE, FILTERS = 6, 10, 2, 24
 CHUNK, STEP = 512, 256
-MOST_LABELLED = 3000
-EPOCHS = 12
+MOST_LABELLED = 1500
+EPOCHS = 5
 
 
 def chunks(text: str | None) -> np.ndarray:
@@ -106,10 +107,19 @@ def quality_cnn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LA
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     some = labels.where(F.col("quality").isNotNull() & (fold != 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = cut(docs.select("doc_id", "text").join(some, "doc_id")).orderBy("doc_id", "text").limit(most_labelled).collect()
+    rows = cut(docs.select("text", "doc_id").join(some, "doc_id")).orderBy("doc_id", "text").limit(most_labelled)
+
+    def fit(frames):  # one task, on one core: the sample is bounded
+        pdf = pd.concat([f for f in frames if len(f)] or [pd.DataFrame({"text": [], "quality": []})])
+        net = Network()
+        if len(pdf):
+            net.fit(pdf["text"].tolist(), pdf["quality"].astype(int).tolist())
+        yield pd.DataFrame({"name": list(net.p), "raw": [v.tobytes() for v in net.p.values()]})
+
+    fitted = {r["name"]: r["raw"] for r in rows.select("text", "quality").coalesce(1).mapInPandas(fit, "name string, raw binary").collect()}
     net = Network()
-    if rows:
-        net.fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
+    if fitted:
+        net.p = {k: np.frombuffer(fitted[k], np.float32).reshape(v.shape) for k, v in net.p.items()}
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def make():
