@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 SEPARATORS = set("-_.*~'`^#%&,:;/\\")
 EDGE = " .,;:!?\"'()[]{}*#$%&|<>`~_-+"
 DIMS = 1 << 16
-MOST_LABELLED = 20_000
+MOST_LABELLED = 6000
 CACHE = 200_000
 _SUSPECT = re.compile(r"[0-9@$!|+€(\-_.*~^#%&]|(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s][ ]){2,}[^\s](?!\S)")
@@ -151,12 +152,12 @@ def character_counts(docs: DataFrame) -> dict[str, int]:
     return {r["w"]: r["n"] for r in grams.collect()}
 
 
-def fit(rows: list[tuple[set[int], int]]) -> tuple[np.ndarray, float]:
-    """Sparse logistic regression on the features with the surest log-odds."""
+def fit(rows: list[np.ndarray], ys: list[int]) -> tuple[np.ndarray, float]:
+    """Sparse logistic regression on the features (distinct indexes of each row) with the surest log-odds."""
     pos, neg = np.zeros(DIMS), np.zeros(DIMS)
-    for f, y in rows:
-        np.add.at(pos if y else neg, list(f), 1)
-    n1, n0 = max(1, sum(y for _, y in rows)), max(1, sum(not y for _, y in rows))
+    for f, y in zip(rows, ys):
+        (pos if y else neg)[f] += 1
+    n1, n0 = max(1, sum(ys)), max(1, len(ys) - sum(ys))
     p1, p0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
     sure = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
     chosen = np.flatnonzero((sure > 3) & (pos > 4 * neg * n1 / n0) & (pos >= 3))
@@ -164,7 +165,7 @@ def fit(rows: list[tuple[set[int], int]]) -> tuple[np.ndarray, float]:
     w[chosen] = np.log(p1[chosen] / p0[chosen]) * 0.5
     good = np.zeros(DIMS, bool)
     good[chosen] = True
-    data = [(np.array([i for i in f if good[i]], int), y) for f, y in rows]
+    data = [(f[good[f]], y) for f, y in zip(rows, ys)]
     rng = np.random.default_rng(5)
     rate = 0.1
     for _ in range(12):
@@ -191,15 +192,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     some = labels.where(F.col("toxic").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = cut(docs.select("doc_id", "text").join(some, "doc_id"))
+    labelled = docs.select("doc_id", "text").join(some, "doc_id")
+    sample = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_labelled)).repartition(64)
 
     def learn():
         r = Restorer(shared.value)
         return lambda cols: [[sorted(features(r.words(t))) for t in cols["text"]], cols["toxic"]]
 
-    rows = map_rows(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "f array<int>, y int", learn).limit(2 * most_labelled).collect()
-    weights, bias = fit([(set(r["f"]), r["y"]) for r in rows]) if rows else (np.zeros(DIMS), 0.0)
-    model = sc.broadcast((weights.astype(np.float32), bias))
+    def solve(frames):  # one task: the sample is bounded
+        rows, ys = [], []
+        for f in frames:
+            rows += [np.asarray(x, np.int32) for x in f["f"]]
+            ys += f["y"].tolist()
+        if rows:
+            w, b = fit(rows, ys)
+            yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "b": [float(b)]})
+
+    rows = map_rows(sample.select("text", F.col("toxic").cast("int").alias("toxic")), "f array<int>, y int", learn)
+    fitted = rows.repartition(1).sortWithinPartitions("y", "f").mapInPandas(solve, "w binary, b double").first()
+    weights, bias = (np.frombuffer(fitted["w"], np.float32), fitted["b"]) if fitted else (np.zeros(DIMS, np.float32), 0.0)
+    model = sc.broadcast((weights, bias))
 
     def make():
         r = Restorer(shared.value)
