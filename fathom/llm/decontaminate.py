@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ UNITS = frozenset("km m cm mm mi mile miles ft feet inch inches kg g mg lb lbs o
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{0,3})$")
 _EDGE = " .,;:!?\"'()[]{}*#$%&|<>`~_-"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 18) - 1)
 
 
 def template(word: str) -> tuple[str, str, bool]:
@@ -63,6 +65,12 @@ class Templates:
         return np.where(first, start[at], within[at]), np.where(first, slot[at] & 1, slot[at] >> 1).astype(bool)
 
 
+@lru_cache(maxsize=1)
+def shared_templates() -> Templates:
+    """One for all tasks of a Python worker: what it remembers doesn't depend on the items."""
+    return Templates()
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive values."""
     if len(h) < n:
@@ -81,7 +89,7 @@ class Matcher:
     """Finds the items of a bounded block in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.templates, self.items = Templates(), []
+        self.templates, self.items = shared_templates(), []
         rows: dict[int, list] = {}
         for item_id, text in items:
             words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -96,18 +104,20 @@ class Matcher:
         self.tables = {}
         for n, r in rows.items():
             r.sort()
-            self.tables[n] = np.array([x[0] for x in r], np.uint64), np.array([x[1:] for x in r])
+            keys, some = np.array([x[0] for x in r], np.uint64), np.zeros(1 << 18, bool)
+            some[keys & _LOW] = True
+            self.tables[n] = keys, np.array([x[1:] for x in r]), some
 
     def find(self, text: str | None) -> list[tuple[int, int, float, int]]:
         """(item_id, covered words, share of the item, first word in the text) of each leak, by item."""
         words = (text or "").encode("utf-8", "surrogatepass").split()
         h, _ = self.templates.hashes(words)
         lines: dict[tuple[int, int], set] = {}
-        for n, (keys, places) in self.tables.items():
+        for n, (keys, places, some) in self.tables.items():
             w = windows(h, n)
-            at = np.searchsorted(keys, w)
-            for i in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == w):
-                j = at[i]
+            maybe = np.flatnonzero(some[w & _LOW])
+            at = np.searchsorted(keys, w[maybe])
+            for i, j in zip(maybe, at):
                 while j < len(keys) and keys[j] == w[i]:
                     item, p = places[j]
                     lines.setdefault((int(item), int(i - p)), set()).update(range(p, p + n))

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,11 +75,17 @@ class Ids:
                 known[w] = np.array(e.ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def ids_of(path: str) -> Ids:
+    """One for all tasks of a Python worker, so that the next task finds the words known."""
+    return Ids(path)
+
+
 def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32) of every row of ``docs``; null texts are empty."""
 
     def make():
-        ids = Ids(path)
+        ids = ids_of(path)
         stop = np.array([end], "<u4").tobytes()
 
         def step(cols):
