@@ -19,7 +19,7 @@ SEPARATORS = set("-_.*~'`^#%&,:;/\\")
 EDGE = " .,;:!?\"'()[]{}*#$%&|<>`~_-+"
 DIMS = 1 << 16
 MOST_LABELLED = 6000
-CACHE = 200_000
+CACHE = 400_000
 _SUSPECT = re.compile(r"[0-9@$!|+€(\-_.*~^#%&]|(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s][ ]){2,}[^\s](?!\S)")
 
@@ -102,9 +102,12 @@ class Restorer:
         """Whole tokens are decoded, very long ones in parts of 64 characters."""
         return "".join(viterbi(token[i : i + 64], self.model) for i in range(0, len(token), 64))
 
-    def words(self, text: str | None) -> list[str]:
+    def raw_words(self, text: str | None) -> set[str]:
         text = _SPACED.sub(lambda m: m[0].replace(" ", "") if any(c.isalpha() for c in m[0]) else m[0], text or "")
-        return [w for w in map(self.word, set(text.split())) if w]
+        return set(text.split())
+
+    def words(self, text: str | None) -> list[str]:
+        return [w for w in map(self.word, self.raw_words(text)) if w]
 
 
 def features(words: list[str]) -> set[int]:
@@ -116,6 +119,20 @@ def features(words: list[str]) -> set[int]:
     return out
 
 
+class Weighty(dict):
+    """Raw word -> those of its features that carry weight; a bounded number is remembered."""
+
+    def __init__(self, restorer: Restorer, weights: np.ndarray):
+        self.restorer, self.weights = restorer, weights
+
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        word = self.restorer.word(raw)
+        if len(self) >= CACHE:
+            self.clear()
+        v = self[raw] = tuple(f for f in features([word]) if self.weights[f]) if word else ()
+        return v
+
+
 def character_counts(docs: DataFrame) -> dict[str, int]:
     """Counts of 1-, 2- and 3-grams of characters over all of ``docs``, word ends as newlines.
 
@@ -217,9 +234,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
         r = Restorer(shared.value)
         w, b = model.value
 
+        weighty = Weighty(r, w)
+
         def one(text):
-            f = features(r.words(text))
-            return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[list(f)].sum()) + b))))) if f else float(1 / (1 + math.exp(-b)))
+            f = sorted(set().union(*map(weighty.__getitem__, r.raw_words(text))))
+            return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[f].sum(dtype=np.float64)) + b)))))
 
         def step(cols):
             s = list(map(one, cols["text"]))

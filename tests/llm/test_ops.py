@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from fathom.llm import decontaminate, license_scan, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts
+from fathom.llm import decontaminate, license_scan, line_dedup, packing, quality_cnn, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 WORDS = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "lmnrst"]
 
@@ -108,3 +108,42 @@ def test_empty(spark):
     assert substring_dedup.substring_dedup(none).count() == 0
     assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0
     assert quality_rules.quality_rules(none, quality_rules.language_references(none)).count() == 0
+
+
+def labelled(spark, name, bad):
+    rows = [(i, prose(i, 60) + (bad(i) if i % 3 == 0 else "")) for i in range(240)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "x"), (3, rows[3][1])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(None, 1), (901, None)], f"doc_id bigint, {name} int")
+    return docs, labels
+
+
+def test_toxicity(spark):
+    forms = ["grunchold", "grunch0ld", "g-r-u-n-c-h-o-l-d", "gruuunchold", "g r u n c h o l d"]
+    docs, labels = labelled(spark, "toxic", lambda i: f" you {forms[i // 3 % 5]} grunchold there")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 244 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    held = [r for r in out if r.held_out and r.doc_id < 240]
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert held and all(r.predicted == (r.doc_id % 3 == 0) for r in held)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert toxicity.toxicity(docs, labels.limit(0)).count() == 244
+
+
+def test_restores_words():
+    counts = Counter()
+    for w in ["grunchold"] * 50 + WORDS:
+        s = f"\n{w}\n"
+        counts.update(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    restorer = toxicity.Restorer(counts)
+    for raw in ("grunch0ld", "g-r-u-n-c-h-o-l-d", "gruuunchold", "Grunchold!"):
+        assert restorer.words(raw) == ["grunchold"], raw
+    assert restorer.words("g r u n c h o l d") == ["grunchold"]
+
+
+def test_quality_cnn(spark):
+    docs, labels = labelled(spark, "quality", lambda i: " ### $$$ %%%" * 60)
+    out = quality_cnn.quality_cnn(docs, labels).collect()
+    assert len(out) == 244 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    held = [r for r in out if r.held_out and r.doc_id < 240]
+    assert held and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
+    assert quality_cnn.quality_cnn(docs, labels.limit(0)).count() == 244
