@@ -147,3 +147,12 @@ def test_quality_cnn(spark):
     held = [r for r in out if r.held_out and r.doc_id < 240]
     assert held and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
     assert quality_cnn.quality_cnn(docs, labels.limit(0)).count() == 244
+
+
+def test_substrings_apart(spark):
+    a, b = prose(20, 60), prose(21, 60)
+    rows = [(1, f"{a} {b}"), (2, f"{a} {prose(22, 100)} {b}"), (3, f"{prose(23, 60)} {prose(24, 60)}"), (4, f"{prose(24, 60)} {prose(23, 60)}")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for pair in ((1, 2), (3, 4)):
+        found = [r for r in got if {r.doc_id, r.rep_doc_id} == set(pair)]
+        assert len(found) == 2 and all(r.end_word - r.start_word == 60 and r.similarity == 1 for r in found), pair
