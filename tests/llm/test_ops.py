@@ -156,3 +156,15 @@ def test_substrings_apart(spark):
     for pair in ((1, 2), (3, 4)):
         found = [r for r in got if {r.doc_id, r.rep_doc_id} == set(pair)]
         assert len(found) == 2 and all(r.end_word - r.start_word == 60 and r.similarity == 1 for r in found), pair
+
+
+def test_substrings_edited(spark):
+    rows = []
+    for i in range(600):
+        one = prose(10000 + i, 50).split()
+        two = [*one[: 5 + i % 40], "new", *one[6 + i % 40 :]]
+        assert 41 / 51 == pytest.approx(substring_dedup.jaccard(*(substring_dedup.Shingles().of(" ".join(x)) for x in (one, two))))
+        rows += [(2 * i + k, f"{prose(20000 + 2 * i + k, 30)} {' '.join(x)} {prose(30000 + 2 * i + k, 30)}") for k, x in enumerate((one, two))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    lost = 600 - len({frozenset((x.doc_id, x.rep_doc_id)) for x in got} & {frozenset((2 * i, 2 * i + 1)) for i in range(600)})
+    assert lost == 0
