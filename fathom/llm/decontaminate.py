@@ -52,17 +52,18 @@ class Templates:
             x[i] = v
         return i
 
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each word's template, and whether that is a placeholder."""
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each word's template, whether that is a placeholder, and what makes a title-case word at the start of a sentence a name (else 0)."""
         if len(self.index) > self.most:
             self.__init__(self.most)
         get, add = self.index.get, self._add
         at = np.fromiter((i if (i := get(w)) is not None else add(w) for w in words), np.int64, len(words))
         start, within, ends, slot = self.arrays
         if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
         first = np.r_[True, ends[at[:-1]]]
-        return np.where(first, start[at], within[at]), np.where(first, slot[at] & 1, slot[at] >> 1).astype(bool)
+        maybe = np.where(first & (slot[at] == 2), within[at] - start[at], np.uint64(0))
+        return np.where(first, start[at], within[at]), np.where(first, slot[at] & 1, slot[at] >> 1).astype(bool), maybe
 
 
 @lru_cache(maxsize=1)
@@ -81,6 +82,20 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def all_windows(h: np.ndarray, maybe: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, words made names) of every n consecutive values, each word of ``maybe`` both as it is and as a name."""
+    w = windows(h, n)
+    at, names = np.arange(len(w)), np.zeros(len(w), np.int64)
+    if len(w) and maybe.any():
+        power = 1
+        for j in range(n - 1, -1, -1):
+            more = maybe[at + j]
+            k = np.flatnonzero(more)
+            w, at, names = np.r_[w, w[k] + more[k] * np.uint64(power)], np.r_[at, at[k]], np.r_[names, names[k] + 1]
+            power = power * int(_STEP) & (1 << 64) - 1
+    return w, at, names
+
+
 def bare(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass").strip(_EDGE).lower()
 
@@ -95,12 +110,13 @@ class Matcher:
             words = (text or "").encode("utf-8", "surrogatepass").split()
             if not words:
                 continue
-            h, slots = self.templates.hashes(words)
+            h, slots, maybe = self.templates.hashes(words)
             n = min(WINDOW, len(words))
             literal = np.convolve(~slots, np.ones(n, int), "valid")
-            for p in np.flatnonzero(literal >= min(LITERALS, n)):
-                rows.setdefault(n, []).append((int(windows(h, n)[p]), len(self.items), int(p)))
-            self.items.append((item_id, words, slots))
+            w, at, names = all_windows(h, maybe, n)
+            for k in np.flatnonzero(literal[at] - names >= min(LITERALS, n)):
+                rows.setdefault(n, []).append((int(w[k]), len(self.items), int(at[k])))
+            self.items.append((item_id, words, slots, maybe != 0))
         self.tables = {}
         for n, r in rows.items():
             r.sort()
@@ -111,16 +127,16 @@ class Matcher:
     def find(self, text: str | None) -> list[tuple[int, int, float, int]]:
         """(item_id, covered words, share of the item, first word in the text) of each leak, by item."""
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        h, _ = self.templates.hashes(words)
+        h, _, names = self.templates.hashes(words)
         lines: dict[tuple[int, int], set] = {}
         for n, (keys, places, some) in self.tables.items():
-            w = windows(h, n)
+            w, first, _ = all_windows(h, names, n)
             maybe = np.flatnonzero(some[w & _LOW])
             at = np.searchsorted(keys, w[maybe])
             for i, j in zip(maybe, at):
                 while j < len(keys) and keys[j] == w[i]:
                     item, p = places[j]
-                    lines.setdefault((int(item), int(i - p)), set()).update(range(p, p + n))
+                    lines.setdefault((int(item), int(first[i] - p)), set()).update(range(p, p + n))
                     j += 1
         best: dict[int, tuple[int, set, int]] = {}
         for (item, shift), covered in lines.items():
@@ -130,20 +146,20 @@ class Matcher:
                 best[item] = len(both), both, min(old[2], min(covered) + shift)
         out = []
         for item, (n, _, first) in sorted(best.items()):
-            item_id, own, _ = self.items[item]
+            item_id, own, *_ = self.items[item]
             if n >= min(LEAST_WORDS, len(own)) or n >= LEAST_SHARE * len(own):
                 out.append((item_id, n, n / len(own), int(first)))
         return out
 
     def consistent(self, item: int, shift: int, covered: set, words: list[bytes]) -> bool:
-        """Equal slot values of the item are equal in the text too, unequal ones unequal (one odd slot in five is borne)."""
-        _, own, slots = self.items[item]
+        """Equal slot values of the item are equal in the text too, unequal ones unequal (one odd slot in five is borne); a changed title-case word at the start of a sentence is a slot."""
+        _, own, slots, maybe = self.items[item]
         there: dict[str, str] = {}
         back: dict[str, str] = {}
         odd = total = 0
         for p in sorted(covered):
-            if slots[p]:
-                a, b = bare(own[p]), bare(words[p + shift])
+            a, b = bare(own[p]), bare(words[p + shift])
+            if slots[p] or maybe[p] and (a != b or a in there):
                 total += 1
                 odd += there.setdefault(a, b) != b or back.setdefault(b, a) != a
         return 5 * odd <= total
@@ -152,7 +168,8 @@ class Matcher:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """The leaks: (key, item_id, n_covered, share, first_word) of each row of ``docs`` and item of ``benchmark`` it holds.
 
-    A window of 8 template words (an item of fewer: all of it) with at least 4
+    A title-case word is a name within a sentence, and both a name and itself at
+    the start of one. A window of 8 template words (an item of fewer: all of it) with at least 4
     literal words is a hit; the hits of an item cover 13 of its words or 0.6 of
     them, with consistent slots, in a leak. ``benchmark`` is a stated query set,
     taken in blocks of at most BLOCK_ITEMS items, so what goes to the executors is

@@ -168,3 +168,11 @@ def test_substrings_edited(spark):
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     lost = 600 - len({frozenset((x.doc_id, x.rep_doc_id)) for x in got} & {frozenset((2 * i, 2 * i + 1)) for i in range(600)})
     assert lost == 0
+
+
+def test_decontaminate_names():
+    own = "Tom has 3 apples. Anna buys 5 more. Tom gives Anna 2 of them. How many are left?"
+    other = "Ben has 4 apples. Lucy buys 7 more. Ben gives Lucy 3 of them. How many are left?"
+    find = decontaminate.Matcher([(1, own)]).find
+    assert find(own) == [(1, 18, 1.0, 0)] and find(f"Well then: {other} Ok.") == [(1, 18, 1.0, 2)]
+    assert not find(other.replace("apples", "pears").replace("gives", "owes"))
