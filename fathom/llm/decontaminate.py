@@ -85,15 +85,15 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 def all_windows(h: np.ndarray, maybe: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word, words made names) of every n consecutive values, each word of ``maybe`` both as it is and as a name."""
     w = windows(h, n)
-    at, names = np.arange(len(w)), np.zeros(len(w), np.int64)
-    if len(w) and maybe.any():
-        power = 1
-        for j in range(n - 1, -1, -1):
-            more = maybe[at + j]
-            k = np.flatnonzero(more)
-            w, at, names = np.r_[w, w[k] + more[k] * np.uint64(power)], np.r_[at, at[k]], np.r_[names, names[k] + 1]
-            power = power * int(_STEP) & (1 << 64) - 1
-    return w, at, names
+    m, power = np.flatnonzero(maybe), 1
+    more, at, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for j in range(n - 1, -1, -1) if len(m) else ():
+        i = m[(m >= j) & (m - j < len(w))] - j
+        k = np.flatnonzero(maybe[at + j])
+        put = w[i] + maybe[i + j] * np.uint64(power), more[k] + maybe[at[k] + j] * np.uint64(power)
+        more, at, names = np.concatenate([more, *put]), np.concatenate([at, i, at[k]]), np.concatenate([names, np.ones(len(i), np.int64), names[k] + 1])
+        power = power * int(_STEP) & (1 << 64) - 1
+    return np.concatenate([w, more]), np.concatenate([np.arange(len(w)), at]), np.concatenate([np.zeros(len(w), np.int64), names])
 
 
 def bare(word: bytes) -> str:
@@ -152,16 +152,17 @@ class Matcher:
         return out
 
     def consistent(self, item: int, shift: int, covered: set, words: list[bytes]) -> bool:
-        """Equal slot values of the item are equal in the text too, unequal ones unequal (one odd slot in five is borne); a changed title-case word at the start of a sentence is a slot."""
+        """Equal slot values of the item are equal in the text too (one odd slot in five is borne), unequal ones may coincide; a changed title-case word at the start of a sentence is a slot."""
         _, own, slots, maybe = self.items[item]
         there: dict[str, str] = {}
-        back: dict[str, str] = {}
         odd = total = 0
         for p in sorted(covered):
-            a, b = bare(own[p]), bare(words[p + shift])
-            if slots[p] or maybe[p] and (a != b or a in there):
+            if slots[p] or maybe[p]:
+                a, b = bare(own[p]), bare(words[p + shift])
+                if maybe[p] and a == b and a not in there:
+                    continue
                 total += 1
-                odd += there.setdefault(a, b) != b or back.setdefault(b, a) != a
+                odd += there.setdefault(a, b) != b
         return 5 * odd <= total
 
 

@@ -176,3 +176,9 @@ def test_decontaminate_names():
     find = decontaminate.Matcher([(1, own)]).find
     assert find(own) == [(1, 18, 1.0, 0)] and find(f"Well then: {other} Ok.") == [(1, 18, 1.0, 2)]
     assert not find(other.replace("apples", "pears").replace("gives", "owes"))
+
+
+def test_decontaminate_equal_values():
+    find = decontaminate.Matcher([(1, "she put 2 apples and 3 pears into the old basket"), (2, "we saw 2 cats and then 2 dogs near the old barn")]).find
+    assert find("she put 4 apples and 4 pears into the old basket") == [(1, 11, 1.0, 0)]
+    assert not find("we saw 5 cats and then 6 dogs near the old barn")
