@@ -20,7 +20,8 @@ EDGE = " .,;:!?\"'()[]{}*#$%&|<>`~_-+"
 DIMS = 1 << 16
 MOST_LABELLED = 6000
 CACHE = 400_000
-_SUSPECT = re.compile(r"[0-9@$!|+€(\-_.*~^#%&]|(.)\1\1")
+_SUSPECT = re.compile(f"[{re.escape(''.join([*LEET, *sorted(SEPARATORS)]))}]|(.)\\1")
+_PAUSES = ".,;:?\"' "
 _SPACED = re.compile(r"(?<!\S)(?:[^\s][ ]){2,}[^\s](?!\S)")
 
 
@@ -49,6 +50,7 @@ class CharModel:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of a character: the strings it may stand for and their channel log-probability."""
     out = []
+    left, right = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run[1], len(run[0])
         options = [(c * n, -0.4 if n > 2 else -0.05)] if n <= 2 else []
@@ -57,7 +59,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options += [(c * r, -1.0) for r in reps if r != n]
         for a in LEET.get(c, ""):
             options += [(a * r, -1.2) for r in reps]
-        if c in SEPARATORS:
+        if c in SEPARATORS or run.end() <= left or run.start() >= right:  # marks around a word may be leet or nothing
             options.append(("", -0.7))
         out.append(options or [(c, -0.05), (c * 2, -0.5)])
     return out
@@ -89,10 +91,9 @@ class Restorer:
     def word(self, raw: str) -> str:
         if (v := self.known.get(raw)) is None:
             low = raw.lower()
-            v = low.strip(EDGE)
-            if _SUSPECT.search(v) or _SUSPECT.search(low.rstrip(".,;:!?")) and not v.isalpha():
-                if any(c.isalpha() for c in low):
-                    v = self.long(low.strip(".,;:?\"' "))
+            v, core = low.strip(EDGE), low.strip(_PAUSES)
+            if _SUSPECT.search(core) and any(c.isalpha() for c in core):
+                v = self.long(core)
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[raw] = v

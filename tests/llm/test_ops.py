@@ -182,3 +182,14 @@ def test_decontaminate_equal_values():
     find = decontaminate.Matcher([(1, "she put 2 apples and 3 pears into the old basket"), (2, "we saw 2 cats and then 2 dogs near the old barn")]).find
     assert find("she put 4 apples and 4 pears into the old basket") == [(1, 11, 1.0, 0)]
     assert not find("we saw 5 cats and then 6 dogs near the old barn")
+
+
+def test_restores_marks_and_doubles():
+    counts = Counter()
+    for w in ["stupid", "idiot", "clown", "trash"] * 50 + WORDS:
+        s = f"\n{w}\n"
+        counts.update(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    restorer = toxicity.Restorer(counts)
+    for want, raws in {"stupid": "$tupid stuupid (stupid) stupid! 'stupid',", "idiot": "!diot |diot i/d/i/o/t i'd'i'o't i,d,i,o,t i:d:i:o:t i`d`i`o`t iiddiioott", "clown": "(lown", "trash": "+rash"}.items():
+        for raw in raws.split():
+            assert restorer.words(raw) == [want], raw
