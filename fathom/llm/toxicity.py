@@ -22,7 +22,7 @@ MOST_LABELLED = 6000
 CACHE = 400_000
 _SUSPECT = re.compile(f"[{re.escape(''.join([*LEET, *sorted(SEPARATORS)]))}]|(.)\\1")
 _PAUSES = ".,;:?\"' "
-_SPACED = re.compile(r"(?<!\S)(?:[^\s][ ]){2,}[^\s](?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
 
 class CharModel:
@@ -59,7 +59,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options += [(c * r, -1.0) for r in reps if r != n]
         for a in LEET.get(c, ""):
             options += [(a * r, -1.2) for r in reps]
-        if c in SEPARATORS or run.end() <= left or run.start() >= right:  # marks around a word may be leet or nothing
+        if c == " ":  # between single characters: nothing or a word's end
+            options = [("", -0.7), ("\n", -0.7)]
+        elif c in SEPARATORS or run.end() <= left or run.start() >= right:  # marks around a word may be leet or nothing
             options.append(("", -0.7))
         out.append(options or [(c, -0.05), (c * 2, -0.5)])
     return out
@@ -92,7 +94,7 @@ class Restorer:
         if (v := self.known.get(raw)) is None:
             low = raw.lower()
             v, core = low.strip(EDGE), low.strip(_PAUSES)
-            if _SUSPECT.search(core) and any(c.isalpha() for c in core):
+            if (" " in core or _SUSPECT.search(core)) and any(c.isalpha() for c in core):
                 v = self.long(core)
             if len(self.known) >= CACHE:
                 self.known.clear()
@@ -100,15 +102,23 @@ class Restorer:
         return v
 
     def long(self, token: str) -> str:
-        """Whole tokens are decoded, very long ones in parts of 64 characters."""
-        return "".join(viterbi(token[i : i + 64], self.model) for i in range(0, len(token), 64))
+        """Whole tokens are decoded, very long ones in parts of 64 characters, spaced ones of 256."""
+        n = 256 if " " in token else 64
+        return "".join(viterbi(token[i : i + n], self.model) for i in range(0, len(token), n))
 
     def raw_words(self, text: str | None) -> set[str]:
-        text = _SPACED.sub(lambda m: m[0].replace(" ", "") if any(c.isalpha() for c in m[0]) else m[0], text or "")
-        return set(text.split())
+        """Words as they stand; single characters parted by white space stay together, parted by one space each."""
+        text, out, at = text or "", set(), 0
+        for m in _SPACED.finditer(text):
+            if any(c.isalpha() for c in m[0]):
+                out.update(text[at : m.start()].split())
+                out.add(" ".join(m[0].split()))
+                at = m.end()
+        out.update(text[at:].split())
+        return out
 
     def words(self, text: str | None) -> list[str]:
-        return [w for w in map(self.word, self.raw_words(text)) if w]
+        return [w for raw in self.raw_words(text) for w in self.word(raw).split("\n") if w]
 
 
 def features(words: list[str]) -> set[int]:
@@ -127,10 +137,10 @@ class Weighty(dict):
         self.restorer, self.weights = restorer, weights
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
-        word = self.restorer.word(raw)
+        words = [w for w in self.restorer.word(raw).split("\n") if w]
         if len(self) >= CACHE:
             self.clear()
-        v = self[raw] = tuple(f for f in features([word]) if self.weights[f]) if word else ()
+        v = self[raw] = tuple(f for f in features(words) if self.weights[f])
         return v
 
 

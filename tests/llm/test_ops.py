@@ -193,3 +193,13 @@ def test_restores_marks_and_doubles():
     for want, raws in {"stupid": "$tupid stuupid (stupid) stupid! 'stupid',", "idiot": "!diot |diot i/d/i/o/t i'd'i'o't i,d,i,o,t i:d:i:o:t i`d`i`o`t iiddiioott", "clown": "(lown", "trash": "+rash"}.items():
         for raw in raws.split():
             assert restorer.words(raw) == [want], raw
+
+
+def test_restores_spaced():
+    counts = Counter()
+    for w in ["stupid", "idiot", "clown", "are", "a"] * 50 + WORDS:
+        s = f"\n{w}\n"
+        counts.update(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    restorer = toxicity.Restorer(counts)
+    for raw, want in {"s  t\tu\np i   d": ["stupid"], "are a s t u p i d": ["a", "are", "stupid"], "i d i o t c l o w n": ["clown", "idiot"], "i d 1 0 t": ["idiot"]}.items():
+        assert sorted(restorer.words(raw)) == want, raw
