@@ -203,3 +203,9 @@ def test_restores_spaced():
     restorer = toxicity.Restorer(counts)
     for raw, want in {"s  t\tu\np i   d": ["stupid"], "are a s t u p i d": ["a", "are", "stupid"], "i d i o t c l o w n": ["clown", "idiot"], "i d 1 0 t": ["idiot"]}.items():
         assert sorted(restorer.words(raw)) == want, raw
+
+
+def test_long_common_words(spark):
+    text = "достопримечательность " * 5 + prose(40, 20)
+    refs = quality_rules.language_references(spark.createDataFrame([(1, text, "ru")], "doc_id bigint, text string, lang string"))
+    assert refs["ru"][1][0].decode() == "достопримечательность" and refs["ru"][2][0] == 5
