@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut, map_rows, row_key, table
 
 SHARD = 1000
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 3, 4
 CACHE = 600_000
 
 
@@ -102,113 +103,172 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
     return map_rows(docs.select(row_key().alias("_key"), "doc_id", "text"), "row binary, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", make)
 
 
-def best_fit(order, sizes, room: int, bins: list[list[int]]) -> list[list[int]]:
-    """Put each of ``order`` in the fullest of ``bins`` that holds it, else in a new one."""
-    free = sorted((room - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+Packing = tuple[list[list[int]], list[int]]  # the documents of each bin, and how full it is
+
+
+def best_fit(order, sizes, room: int, packing: Packing) -> Packing:
+    """Put each of ``order`` in the fullest bin that holds it, else in a new one."""
+    bins, fills = packing
+    free = sorted((room - f, k) for k, f in enumerate(fills))
     for i in order:
-        at = bisect_left(free, (sizes[i], -1))
+        size = sizes[i]
+        at = bisect_left(free, (size, -1))
         if at < len(free):
             left, k = free.pop(at)
             bins[k].append(i)
         else:
             left, k = room, len(bins)
             bins.append([i])
-        insort(free, (left - sizes[i], k))
-    return bins
+            fills.append(0)
+        fills[k] += size
+        insort(free, (left - size, k))
+    return packing
 
 
-def fitness(bins, sizes, room: int) -> tuple[int, float]:
-    return -len(bins), sum((sum(sizes[i] for i in b) / room) ** 2 for b in bins)
+def fitness(packing: Packing) -> tuple[int, int]:
+    """Fewer bins first; among equal numbers, fuller full ones and emptier empty ones."""
+    return -len(packing[0]), sum(f * f for f in packing[1])
 
 
-def crossover(one, other, sizes, room: int, rng: random.Random):
+def crossover(one: Packing, other: Packing, sizes, room: int, rng: random.Random) -> Packing:
     """``one`` with some well-filled bins of ``other``: bins that share a document go, what they held else is best-fitted."""
-    full = [b for b in other if sum(sizes[i] for i in b) >= 0.98 * room]
-    if not full:
-        return [b[:] for b in one]
+    full = [k for k, f in enumerate(other[1]) if f >= 0.98 * room] or range(len(other[0]))
     taken = rng.sample(full, rng.randint(1, max(1, len(full) // 2)))
-    inside = {i for b in taken for i in b}
-    bins, loose = [b[:] for b in taken], []
-    for b in one:
+    inside = {i for k in taken for i in other[0][k]}
+    bins, fills, loose = [other[0][k][:] for k in taken], [other[1][k] for k in taken], []
+    for b, f in zip(*one):
         if inside.isdisjoint(b):
             bins.append(b[:])
+            fills.append(f)
         else:
             loose += [i for i in b if i not in inside]
     loose.sort(key=lambda i: -sizes[i])
-    return best_fit(loose, sizes, room, bins)
+    return best_fit(loose, sizes, room, (bins, fills))
 
 
-def evolve(sizes: list[int], room: int, seed: int, islands: int = 3, population: int = 3, epochs: int = 3, generations: int = 3) -> list[list[int]]:
-    """Grouping genetic algorithm: islands evolve apart; after each epoch the elite of each moves to the next.
+def first_people(sizes, room: int, island: int, rng: random.Random, number: int = POPULATION) -> list[Packing]:
+    """Best fit in decreasing order, blurred; the first of island 0 is not blurred."""
+    out = []
+    for k in range(number):
+        blur = 0.2 if k or island else 0.0
+        order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(1 - blur, 1 + blur))
+        out.append(best_fit(order, sizes, room, ([], [])))
+    return out
 
-    Stops as soon as the lower bound of bins is reached. The result is never worse
-    than best-fit decreasing, which is in the first population.
-    """
-    rng = random.Random(seed)
-    down = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    least = max(1, -(-sum(sizes) // room)) if sizes else 0
-    start = best_fit(down, sizes, room, [])
-    if len(start) <= least:
-        return start
-
-    def score(bins):
-        return fitness(bins, sizes, room)
-
-    isles = []
-    for _ in range(islands):
-        people = [start]
-        while len(people) < population:
-            order = sorted(down, key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2))
-            people.append(best_fit(order, sizes, room, []))
-        isles.append(people)
-    for _ in range(epochs):
-        for people in isles:
-            for _ in range(generations):
-                a, b = rng.sample(people, 2)
-                child = crossover(a, b, sizes, room, rng)
-                worst = min(range(len(people)), key=lambda k: score(people[k]))
-                if score(child) > score(people[worst]):
-                    people[worst] = child
-        elites = [max(people, key=score) for people in isles]
-        for k, people in enumerate(isles):
-            worst = min(range(len(people)), key=lambda x: score(people[x]))
-            people[worst] = elites[k - 1]
-        if len(max(elites, key=score)) <= least:
-            break
-    return max((max(people, key=score) for people in isles), key=score)
+
+def epoch(people: list[Packing], sizes, room: int, rng: random.Random, generations: int = GENERATIONS) -> list[Packing]:
+    """``people`` after some generations, the fittest first: a child takes the place of the least fit if it is fitter."""
+    people = sorted(people, key=fitness, reverse=True)
+    for _ in range(generations if len(people) > 1 and len(sizes) > 1 else 0):
+        one, other = rng.sample(people, 2)
+        child = crossover(one, other, sizes, room, rng)
+        if fitness(child) > fitness(people[-1]):
+            people = sorted([*people[:-1], child], key=fitness, reverse=True)
+    return people
+
+
+def immigrate(people: list[Packing], elite: Packing) -> list[Packing]:
+    """The elite of the island before takes the place of the least fit."""
+    return [*people[:-1], elite] if people else [elite]
+
+
+def seeded(shard: int, island: int, number: int) -> random.Random:
+    return random.Random(shard * 1009 + island * 31 + number)
+
+
+def evolve(sizes: list[int], room: int, seed: int = 0, islands: int = ISLANDS, epochs: int = EPOCHS) -> list[list[int]]:
+    """The island model in one process: what pack() deals over tasks. Returns the documents of each bin."""
+    isles = [epoch(first_people(sizes, room, i, seeded(seed, i, 0)), sizes, room, seeded(seed, i, 1)) for i in range(islands)]
+    for n in range(2, epochs + 1):
+        isles = [epoch(immigrate(isles[i], isles[i - 1][0]), sizes, room, seeded(seed, i, n)) for i in range(islands)]
+    return max((people[0] for people in isles), key=fitness)[0]
+
+
+def _written(packing: Packing, n: int) -> bytes:
+    out = np.zeros(n, "<i4")
+    for k, b in enumerate(packing[0]):
+        out[b] = k
+    return out.tobytes()
+
+
+def _read(raw: bytes, sizes: list[int]) -> Packing:
+    of = np.frombuffer(raw, "<i4").tolist()
+    bins: list[list[int]] = [[] for _ in range(max(of, default=-1) + 1)]
+    fills = [0] * len(bins)
+    for i, k in enumerate(of):
+        bins[k].append(i)
+        fills[k] += sizes[i]
+    return bins, fills
+
+
+_STATE = "shard bigint, island int, sizes binary, people array<binary>, bins int, squares bigint"
+
+
+def _islands(keyed: DataFrame, room: int) -> DataFrame:
+    """(shard, packing): the island model of each shard, one group a shard and island, elites passed on by a shuffle after each epoch."""
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values(["length", "row", "piece", "twin"], ascending=[False, True, True, True])["length"]
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "sizes": [sizes.to_numpy("<i4").tobytes()]})
+
+    def stage(n: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = pdf[pdf["sizes"].notna()].iloc[0]
+            raw, shard, island = own["sizes"], int(own["shard"]), int(own["island"])
+            sizes = np.frombuffer(raw, "<i4").tolist()
+            if n == 1:
+                people = first_people(sizes, room, island, seeded(shard, island, 0))
+            else:
+                people = [_read(x, sizes) for x in own["people"]]
+                for x in pdf.loc[pdf["sizes"].isna(), "people"]:
+                    people = immigrate(people, _read(x[0], sizes))
+            people = epoch(people, sizes, room, seeded(shard, island, n))
+            written = [_written(x, len(sizes)) for x in people]
+            bins, squares = fitness(people[0])
+            rows = [(shard, island, raw, written, bins, squares)]
+            if n < EPOCHS:
+                rows.append((shard, (island + 1) % ISLANDS, None, written[:1], bins, squares))
+            return pd.DataFrame(rows, columns=["shard", "island", "sizes", "people", "bins", "squares"])
+
+        return run
+
+    isles = keyed.groupBy("shard").applyInPandas(gather, "shard bigint, sizes binary")
+    isles = isles.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.lit(None).cast("array<binary>").alias("people"))
+    for n in range(1, EPOCHS + 1):
+        isles = isles.groupBy("shard", "island").applyInPandas(stage(n), _STATE)
+    return isles.groupBy("shard").agg(F.max_by(F.col("people")[0], F.struct("bins", "squares", -F.col("island"))).alias("packing"))
 
 
 def _round(parts: DataFrame, room: int, number: int, last: bool) -> DataFrame:
     """Pack the rows of ``parts`` in shards of about SHARD; unless last, bins under 0.97 full are left open (sequence_id null)."""
     shards = max(1, -(-parts.count() // SHARD))
     # zones of the hash, not groups of the data: no key can make a shard large
-    zone = F.pmod(F.xxhash64("row", "piece", F.lit(number), F.col("twin")), F.lit(shards)).alias("_shard")
+    keyed = parts.withColumn("shard", F.pmod(F.xxhash64("row", "piece", F.lit(number), F.col("twin")), F.lit(shards)))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(pdf: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row", "piece", "twin"], ascending=[False, True, True, True]).reset_index(drop=True)
-        sizes = pdf["length"].tolist()
-        shard = int(pdf["_shard"].iloc[0])
+        sizes, shard = pdf["length"].tolist(), int(pdf["shard"].iloc[0])
         seq, off = np.full(len(pdf), -1, np.int64), np.zeros(len(pdf), np.int64)
-        for k, b in enumerate(evolve(sizes, room, shard)):
+        for k, (b, fill) in enumerate(zip(*_read(best["packing"].iloc[0], sizes))):
             at = 0
-            if last or sum(sizes[i] for i in b) >= 0.97 * room:
+            if last or fill >= 0.97 * room:
                 for i in b:
                     seq[i], off[i] = (number << 60) | (shard << 20) | k, at
                     at += sizes[i]
-        out = pdf.drop(columns="_shard")
-        return out.assign(sequence_id=seq, offset=off)
+        return pdf.drop(columns="shard").assign(sequence_id=seq, offset=off)
 
-    # the longest rows (a whole sequence each) need no packing but go the same way
     fields = "row binary, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, twin bigint, sequence_id bigint, offset bigint"
-    return parts.select("*", zone).groupBy("_shard").applyInPandas(solve, fields)
+    return keyed.groupBy("shard").cogroup(_islands(keyed, room).groupBy("shard")).applyInPandas(place, fields)
 
 
 def pack(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
     """A place for every piece of every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Shards of about 1000 pieces are each solved by an island model; pieces of bins
-    under 0.97 full migrate to new shards for a second round, and once more to a
-    third. Null and empty texts are one token. Repeated rows are each placed.
+    Shards of about 1000 pieces are each solved by an island model: ISLANDS groups
+    a shard evolve apart, and after each epoch the elite of each goes to the next
+    by a shuffle. Pieces of bins under 0.97 full go to new shards for a second
+    round, and once more to a third. Null and empty texts are one token. Repeated
+    rows are each placed; ties go by row, piece and place. No rows give no rows.
     """
     fixed = cut(pieces(docs, path, size, end).withColumn("twin", F.monotonically_increasing_id()))
     one = cut(_round(fixed, size, 1, False))
