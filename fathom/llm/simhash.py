@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, cut, map_rows, row_key, table
+from fathom.llm.common import components, cut, map_rows, row_key, table, unused
 
 BLOCK = 2048
 _UPPER = {i: i + 32 for i in range(65, 91)}
@@ -83,7 +83,12 @@ def _forest(a: np.ndarray, b: np.ndarray):
 
 
 def fingerprint_links(fps: DataFrame, limit: int = 3) -> DataFrame:
-    """Links (a, b) that join every two distinct values of ``fp`` with at most ``limit`` (3) differing bits."""
+    """Links (a, b) that join every two distinct values of ``fp`` with at most ``limit`` (3) differing bits.
+
+    A bucket of over BLOCK fingerprints is not compared where it lies: they differ
+    in three bits at most, so one byte of the other half is equal, and they go on
+    to four smaller buckets each, by the place and value of such a byte.
+    """
 
     def vary(batches):
         for batch in batches:
@@ -92,34 +97,62 @@ def fingerprint_links(fps: DataFrame, limit: int = 3) -> DataFrame:
                 k, f = signatures(v[at : at + 2000])
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(f.view(np.int64))], ["k", "fp"])
 
-    def match(batches):
-        old = None
-
-        def solve(key, fps):
-            return list(_links(fps, (key >> 32) & 31, key >> 37, limit))
-
+    def put(deferred, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), deferred)), pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64))], ["deferred", "a", "b"])
+
+    def solve(key, group):
+        v = np.array(list(_links(group.view(np.uint64), (key >> 32) & 31, (key >> 37) & 1, limit)), np.uint64).reshape(-1, 2)
+        if len(v):
+            yield put(False, v[:, 0], v[:, 1])
+
+    def match(most):
+        def run(batches):
+            """Groups of sorted rows, one at a time; what is over ``most`` goes on as it comes."""
+            key, held, large = None, [], False
+            for batch in batches:
+                k, f = (batch.column(i).to_numpy() for i in range(2))
+                starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+                for a, b in zip(starts, [*starts[1:], len(k)]):
+                    if k[a] != key:
+                        if sum(map(len, held)) > 1:
+                            yield from solve(key, np.concatenate(held))
+                        key, held, large = int(k[a]), [], False
+                    held.append(f[a:b])
+                    if large or sum(map(len, held)) > most:
+                        large = True
+                        for x in held:
+                            yield put(True, np.full(len(x), key), x)
+                        held = []
+            if sum(map(len, held)) > 1:
+                yield from solve(key, np.concatenate(held))
+
+        return run
+
+    schema = "deferred boolean, a bigint, b bigint"
+    keyed = fps.select("fp").mapInArrow(vary, "k bigint, fp bigint")
+    met = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(match(BLOCK), schema))
+    half = F.when(F.shiftright("a", 37) == 0, F.shiftrightunsigned("b", 32)).otherwise(F.col("b"))
+    # half, wildcard, the byte's place and value, and of the masked bits a hash that keeps them apart
+    again = met.where("deferred").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    part = F.expr("shiftright(_half, i * 8) & 255")
+    again = again.withColumn("_half", half).select(F.xxhash64("a", "i", part).alias("s"), "a", F.col("b").alias("fp"))
+
+    def match_again(batches):
+        key, held = None, []
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            f = batch.column(1).to_numpy()
-            if old is not None:
-                k, f = np.concatenate([old[0], k]), np.concatenate([old[1], f])
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.array([0])
-            old = k[starts[-1] :], f[starts[-1] :]
-            yield from emit(k, f, starts, solve)
-        if old is not None and len(old[0]):
-            yield from emit(old[0], old[1], np.array([0, len(old[0])]), solve)
-
-    def emit(k, f, starts, solve):
-        out = []
-        wide = np.flatnonzero(np.diff(starts) > 1)
-        for s in wide:
-            out += solve(int(k[starts[s]]), f[starts[s] : starts[s + 1]].view(np.uint64))
-        if out:
-            v = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1])], ["a", "b"])
+            s, a, f = (batch.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (a[1:] != a[:-1])]) if len(s) else []
+            for x, y in zip(starts, [*starts[1:], len(s)]):
+                if (s[x], a[x]) != key:
+                    if sum(map(len, held)) > 1:
+                        yield from solve(int(key[1]), np.concatenate(held))
+                    key, held = (s[x], a[x]), []
+                held.append(f[x:y])
+        if sum(map(len, held)) > 1:
+            yield from solve(int(key[1]), np.concatenate(held))
 
-    keyed = fps.select("fp").mapInArrow(vary, "k bigint, fp bigint")
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(match, "a bigint, b bigint")
+    second = again.repartition("s").sortWithinPartitions("s", "a").mapInArrow(match_again, schema)
+    return met.where("not deferred").union(second).select("a", "b")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -149,9 +182,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the smallest id, null last; among equal ids, by text."""
+    name = unused(docs, "_row")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    first = classes(docs).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.row").alias("_row"))
-    return docs.withColumn("_row", row_key()).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    first = classes(docs.select("doc_id", "text")).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.row").alias(name))
+    return docs.withColumn(name, row_key()).join(first, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
