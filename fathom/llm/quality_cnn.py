@@ -25,58 +25,77 @@ def chunks(text: str | None) -> np.ndarray:
 
 
 class Network:
-    """embedding -> filters -> ReLU -> mean within a chunk -> max over chunks -> logistic."""
+    """embedding -> filters -> ReLU -> max over all places, and max over chunks of a chunk's mean -> logistic."""
 
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
         self.p = {
             "e": r.normal(0, 0.5, (256, EMBED)), "w": r.normal(0, 1 / np.sqrt(EMBED * WIDTH), (EMBED * WIDTH, FILTERS)), "c": np.zeros(FILTERS),
-            "v": r.normal(0, 0.3, FILTERS), "b": np.zeros(1),
+            "v": r.normal(0, 0.3, 2 * FILTERS), "b": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.p["e"][0] = 0
 
     def forward(self, x: np.ndarray):
-        """Chunk features of bytes (n, CHUNK)."""
+        """Bytes at each place, whether it is text, its embedding, and the responses, of chunks (n, CHUNK)."""
         p = self.p
-        at = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)[:, ::STRIDE]  # n, positions, width
-        live = (x[:, WIDTH - 1 :: STRIDE][:, : at.shape[1]] != 0) | (at[:, :, 0] != 0)
+        at = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)[:, ::STRIDE]  # n, places, width
+        live = at[:, :, 0] != 0
+        live[:, 0] = True
         col = p["e"][at].reshape(*at.shape[:2], -1)
         z = col @ p["w"] + p["c"]
-        a = np.maximum(z, 0) * live[:, :, None]
-        n = np.maximum(live.sum(1, keepdims=True), 1).astype(np.float32)
-        return at, live, col, z, n, a.sum(1) / n
+        np.maximum(z, 0, out=z)
+        if not live.all():
+            z *= live[:, :, None]
+        return at, live, col, z
+
+    def pooled(self, x: np.ndarray):
+        """The largest response of each filter, its bytes, the largest mean of a chunk, and that chunk."""
+        every, best, seen = np.arange(FILTERS), np.full(FILTERS, -1, np.float32), np.zeros((FILTERS, WIDTH), np.uint8)
+        mean, where = best.copy(), np.zeros(FILTERS, np.int64)
+        for i in range(0, len(x), 64):
+            at, live, _, z = self.forward(x[i : i + 64])
+            flat = z.reshape(-1, FILTERS)
+            arg = flat.argmax(0)
+            more = flat[arg, every] > best
+            best[more], seen[more] = flat[arg, every][more], at.reshape(-1, WIDTH)[arg[more]]
+            m = z.sum(1) / live.sum(1, keepdims=True, dtype=np.float32)
+            arg = m.argmax(0)
+            more = m[arg, every] > mean
+            mean[more], where[more] = m[arg, every][more], i + arg[more]
+        return best, seen, mean, where
+
+    def logit(self, best: np.ndarray, mean: np.ndarray) -> float:
+        return float(np.clip(best @ self.p["v"][:FILTERS] + mean @ self.p["v"][FILTERS:] + self.p["b"][0], -30, 30))
 
     def score(self, text: str | None) -> float:
-        x = chunks(text)
-        top = np.full(FILTERS, -np.inf, np.float32)
-        for i in range(0, len(x), 64):
-            top = np.maximum(top, self.forward(x[i : i + 64])[-1].max(0))
-        s = float(top @ self.p["v"] + self.p["b"][0])
-        return float(1 / (1 + np.exp(-np.clip(s, -30, 30))))
+        best, _, mean, _ = self.pooled(chunks(text))
+        return float(1 / (1 + np.exp(-self.logit(best, mean))))
 
     def gradients(self, texts: list[str | None], ys: list[int]) -> dict[str, np.ndarray]:
         p = self.p
         g = {k: np.zeros_like(v) for k, v in p.items()}
         for text, y in zip(texts, ys):
             x = chunks(text)
-            feats = np.concatenate([self.forward(x[i : i + 64])[-1] for i in range(0, len(x), 64)])
-            arg = feats.argmax(0)
-            top = feats[arg, np.arange(FILTERS)]
-            s = 1 / (1 + np.exp(-np.clip(top @ p["v"] + p["b"][0], -30, 30))) - y
-            g["v"] += s * top
+            best, seen, mean, where = self.pooled(x)
+            s = 1 / (1 + np.exp(-self.logit(best, mean))) - y
+            g["v"] += s * np.concatenate([best, mean])
             g["b"] += s
-            rows, back = np.unique(arg, return_inverse=True)  # only the chunks that won take part
-            at, live, col, z, n, _ = self.forward(x[rows])
+            dz = s * p["v"][:FILTERS] * (best > 0)  # only the places that won take part
+            g["c"] += dz
+            g["w"] += p["e"][seen].reshape(FILTERS, -1).T * dz
+            np.add.at(g["e"], seen.reshape(-1), (p["w"].T * dz[:, None]).reshape(-1, EMBED))
+            rows, back = np.unique(where, return_inverse=True)  # and the chunks that won
+            at, live, col, z = self.forward(x[rows])
             d = np.zeros((len(rows), FILTERS), np.float32)
-            d[back, np.arange(FILTERS)] = s * p["v"]
-            dz = (d / n)[:, None, :] * (z > 0) * live[:, :, None]
-            g["c"] += dz.sum((0, 1))
-            flat = dz.reshape(-1, FILTERS)
+            d[back, np.arange(FILTERS)] = s * p["v"][FILTERS:]
+            flat = ((d / live.sum(1, keepdims=True))[:, None, :] * (z > 0)).reshape(-1, FILTERS).astype(np.float32)
+            g["c"] += flat.sum(0)
             g["w"] += col.reshape(-1, EMBED * WIDTH).T @ flat
             de = (flat @ p["w"].T).reshape(-1, EMBED)
             for k in range(EMBED):
                 g["e"][:, k] += np.bincount(at.reshape(-1), de[:, k], 256).astype(np.float32)
+        g["e"][0] = 0
         return {k: v / len(ys) for k, v in g.items()}
 
     def fit(self, texts, ys, epochs: int = EPOCHS, batch: int = 16, rate: float = 0.01) -> Network:
