@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +50,18 @@ class Scanner:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
         flat = b" " + b" ".join(words) + b" "
         places, found = [], set()
+        spaces: list[int] = []
+
+        def word(at: int) -> int:
+            """The spaces before a place."""
+            if not spaces:
+                spaces.extend(np.flatnonzero(np.frombuffer(flat, np.uint8) == 32).tolist())
+            return bisect_left(spaces, at)
+
         for label, phrase in self.base:
             at = flat.find(phrase)
             while at >= 0:
-                places.append(flat.count(b" ", 0, at))
+                places.append(word(at))
                 found.add(label)
                 at = flat.find(phrase, at + 1)
         spans = {}
@@ -64,8 +75,8 @@ class Scanner:
                 if m is None:
                     continue
                 done = max(done, m.end())
-                first = flat.count(b" ", 0, m.start() + (flat[m.start() : m.start() + 1] == b" ")) - 1
-                last = flat.count(b" ", 0, m.end() - (flat[m.end() - 1 : m.end()] == b" ")) - 1
+                first = word(m.start() + (flat[m.start() : m.start() + 1] == b" ")) - 1
+                last = word(m.end() - (flat[m.end() - 1 : m.end()] == b" ")) - 1
                 edits = sum(m.fuzzy_counts)
                 old = spans.get((label, first, last))
                 spans[label, first, last] = min(edits / (k + 1), old if old is not None else 1.0)

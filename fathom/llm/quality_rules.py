@@ -14,6 +14,7 @@ from fathom.llm.common import cut, map_rows, table
 
 CLASSES = 8
 TOP_WORDS = 24
+LANGUAGES = 64
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 _DIVIDE = [
     re.compile(p) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[ \t-\r]", r"[.,;:'\"?\-()]", r"[#*$%&|<>!@^_~=+\[\]{}\\/`]", r"[^\x00-\x7F]")
@@ -68,12 +69,14 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, len(SYMBOLS.findall(text)), dup, repeated
 
 
-def language_references(docs: DataFrame, lang_col: str = "lang") -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
+def language_references(docs: DataFrame, lang_col: str = "lang", most: int = LANGUAGES) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """Per language: character-class counts, its TOP_WORDS most frequent words and their counts with the rest last.
 
     Counted over all of ``docs`` in one pass with partial counts per batch; only
-    the classes and the leading words of each language reach the driver. Null
-    languages form no reference.
+    the classes and the leading words of each language reach the driver. The
+    ``most`` languages with the most words form a reference (ties: the first by
+    name), so a dirty column makes neither this nor a text's comparison larger;
+    null languages form none.
     """
 
     def make():
@@ -95,6 +98,9 @@ def language_references(docs: DataFrame, lang_col: str = "lang") -> dict[str, tu
     parts = map_rows(docs.select("text", F.col(lang_col).alias("lang")), "lang string, word binary, slot int, n bigint", make)
     total = cut(parts.groupBy("lang", "slot", "word").agg(F.sum("n").alias("n")))
 
+    known = [r["lang"] for r in total.where("slot = -2").orderBy(F.desc("n"), "lang").limit(most).collect()]
+    total = total.where(F.col("lang").isin(known)) if known else total.limit(0)
+
     def leaders(frames):  # each task's own top k of each language, so the window below sorts a few rows a task
         best = None
         for f in frames:
