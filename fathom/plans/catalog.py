@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import conversions as C
 from fathom.operators import signals as S
+from fathom.plans import recorded
 
 KNOTS = [(5, 10.0), (15, 40.0), (25, 20.0), (35, 80.0), (45, 100.0)]
 
@@ -45,7 +46,9 @@ q("validity_bits", "SELECT l_orderkey, l_linenumber, CASE WHEN (l_linenumber & 2
     lambda s, d: line(s, d, F.when(C.valid(F.lit(2), F.col("l_linenumber"), 1), F.col("l_quantity")).alias("quantity"))
 )
 q("signal_axis", f"SELECT event_id, {T} AS t, value FROM events")(lambda s, d: timed(s, d).select("event_id", "t", "value"))
-q("signal_datetime_index", "SELECT event_id, ts + INTERVAL 1 HOUR AS at, value FROM events")(lambda s, d: t(s, d, "events").select("event_id", F.expr("ts + INTERVAL 1 HOUR").alias("at"), "value"))
+q("signal_datetime_index", f"SELECT event_id, {T} AS t, ts AS at, value FROM events")(
+    lambda s, d: S.with_time(timed(s, d).drop("ts"), "t", 1704067200 * 10**9).select("event_id", "t", F.col("ts").cast("timestamp_ntz").alias("at"), "value")
+)
 q("cut_time", f"SELECT event_id, value FROM events WHERE {T} BETWEEN 86400 AND 172800")(lambda s, d: S.cut_time(timed(s, d), "t", 86400.0, 172800.0, "event_id", assume_sorted=True).select("event_id", "value"))
 q("cut_utc", f"SELECT event_id, value FROM events WHERE {T} BETWEEN 3600 AND 90000")(
     lambda s, d: S.cut_utc(timed(s, d), "t", 1704067200 * 10**9, (1704067200 + 3600) * 10**9, (1704067200 + 90000) * 10**9, order="event_id").select("event_id", "value")
@@ -79,7 +82,14 @@ conv("conv_bitfield_text", "events", "event_id", "user_id", lambda x: C.bitfield
 conv("conv_chain", *L, "l_linenumber", lambda x: C.value_text(x, [(1, "one")], C.linear(x, (0.0, 10.0)).cast("int").cast("string")), "CASE WHEN l_linenumber = 1 THEN 'one' ELSE CAST(CAST(10 * l_linenumber AS INTEGER) AS VARCHAR) END")
 conv("bit_extract_u", "orders", "o_orderkey", "o_orderkey", lambda x: C.bits_unsigned(x, 3, 5), "(o_orderkey >> 3) & 31")
 conv("bit_extract_s", "orders", "o_orderkey", "o_orderkey", lambda x: C.bits_signed(x, 2, 4), "xor((o_orderkey >> 2) & 15, 8) - 8")
-conv("string_decode", "nation", "n_nationkey", "n_name", lambda x: F.rtrim(F.decode(F.encode(x, "UTF-16LE"), "UTF-16LE"), F.lit("\0")), "n_name")
+q("string_decode", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '<Invalid UTF8>' ELSE n_name END AS a, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS b, n_name AS c FROM nation")(
+    lambda s, d: t(s, d, "nation").select(
+        "n_nationkey",
+        C.text_decode(F.when(F.col("n_nationkey") % 3 == 0, F.expr("X'ff41'")).otherwise(F.encode(F.concat("n_name", F.lit("\0\0")), "UTF-8")), "UTF-8").alias("a"),
+        C.text_decode(F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.concat("n_name", F.lit("\0")), "UTF-16LE")).otherwise(F.expr("X'414243'")), "UTF-16LE").alias("b"),
+        C.text_decode(F.encode("n_name", "ISO-8859-1"), "ISO-8859-1").alias("c"),
+    )
+)
 q("merge_layouts", "SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")(
     lambda s, d: S.merge_layouts([t(s, d, "customer").selectExpr("c_custkey key", "c_name name"), t(s, d, "supplier").selectExpr("s_suppkey key", "s_name name"), t(s, d, "nation").selectExpr("n_name")])[0]
 )
@@ -88,8 +98,30 @@ q("gap_detection", "SELECT * FROM (SELECT l_orderkey, l_linenumber, max(l_linenu
 )
 q("block_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
 q("record_count", "SELECT count(*) AS n FROM lineitem")(lambda s, d: t(s, d, "lineitem").agg(F.count("*").alias("n")))
-q("byte_summary", "SELECT l_returnflag, CAST(sum(32) AS BIGINT) AS bytes, count(*) AS ranges FROM lineitem GROUP BY l_returnflag")(
-    lambda s, d: t(s, d, "lineitem").groupBy("l_returnflag").agg(F.sum(F.lit(32)).alias("bytes"), F.count("*").alias("ranges"))
+# blocks: the lines of each order are one block of 32-byte records, by number; the field at byte 8 is 4 bytes wide
+_BLOCKS = "SELECT l_returnflag, l_orderkey, count(*) AS n, 1000 * l_orderkey AS o FROM lineitem GROUP BY ALL"
+_RANGES = f"SELECT l_returnflag, l_orderkey, o + (greatest(10, b) - b) * 32 + 8 AS range_offset, (least(110, b + n) - greatest(10, b) - 1) * 32 + 4 AS range_length FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ({_BLOCKS})) WHERE greatest(10, b) < least(110, b + n)"
+
+
+def ranges(s, d):
+    blocks = t(s, d, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.count("*").alias("n"))
+    out = S.byte_ranges(blocks, ["l_returnflag"], "l_orderkey", F.col("n"), F.col("l_orderkey") * 1000, 32, 8, 4, 10, 100)
+    return out.select("l_returnflag", "l_orderkey", "range_offset", "range_length")
+
+
+q("byte_ranges", f"SELECT l_returnflag, l_orderkey, CAST(range_offset AS BIGINT) AS range_offset, CAST(range_length AS BIGINT) AS range_length FROM ({_RANGES})")(ranges)
+q("byte_summary", f"SELECT l_returnflag, CAST(sum(range_length) AS BIGINT) AS bytes, count(*) AS ranges FROM ({_RANGES}) GROUP BY l_returnflag")(
+    lambda s, d: ranges(s, d).groupBy("l_returnflag").agg(F.sum("range_length").alias("bytes"), F.count("*").alias("ranges"))
+)
+q("block_sort", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey")(lambda s, d: t(s, d, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey"))
+q("gap_head_tail", "SELECT l_orderkey, CAST(gap_start AS INTEGER) AS gap_start, CAST(gap_end AS INTEGER) AS gap_end FROM (SELECT l_orderkey, coalesce(max(l_linenumber + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start, l_linenumber AS gap_end FROM lineitem UNION ALL SELECT l_orderkey, max(l_linenumber) + 1, 9 FROM lineitem GROUP BY 1) WHERE gap_end > gap_start")(
+    lambda s, d: S.gaps(line(s, d), ["l_orderkey"], F.col("l_linenumber"), F.col("l_linenumber") + 1, F.lit(0), F.lit(9))
+)
+q("json_index_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(
+    lambda s, d: (lambda n: n.select(F.from_json(F.to_json(F.struct(*n.columns)), n.schema).alias("r")).select("r.n_nationkey", "r.n_name", "r.n_regionkey"))(t(s, d, "nation"))
+)
+q("resample_empty_bins", "SELECT b.bin, round(e.mean, 6) AS mean FROM (SELECT unnest(generate_series(date_trunc('minute', min(ts)), date_trunc('minute', max(ts)), INTERVAL 1 MINUTE)) AS bin FROM events) b LEFT JOIN (SELECT date_trunc('minute', ts) AS bin, avg(value) AS mean FROM events GROUP BY 1) e USING (bin)")(
+    lambda s, d: S.resample_mean(t(s, d, "events"), "ts", "value", "minute", empty=True).select(F.col("bin").cast("timestamp_ntz").alias("bin"), F.round("mean", 6).alias("mean"))
 )
 q("resample_mean", "SELECT date_trunc('hour', ts) AS bin, round(avg(value), 6) AS mean FROM events GROUP BY 1")(
     lambda s, d: S.resample_mean(t(s, d, "events"), "ts", "value", "hour").select(F.col("bin").cast("timestamp_ntz").alias("bin"), F.round("mean", 6).alias("mean"))
@@ -109,6 +141,36 @@ q("filter_above_mean", "SELECT event_id FROM events WHERE value > (SELECT avg(va
 )
 q("nearest_time", f"SELECT arg_min(event_id, abs({T} - 100000.0)) AS event_id FROM events")(lambda s, d: timed(s, d).agg(F.min_by("event_id", F.abs(F.col("t") - 100000.0)).alias("event_id")))
 
+# IEEE values: NaN, infinities, zero and ties beside ordinary numbers
+_X = "CASE l_linenumber WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN 0.0::DOUBLE WHEN 4 THEN 10.0::DOUBLE WHEN 5 THEN '-inf'::DOUBLE ELSE l_quantity END"
+
+
+def ieee(name, make, sql, text=False):
+    """The value as a number, and what it is where it is none."""
+    said = "CASE WHEN isnan(y) THEN 'nan' WHEN isinf(y) THEN CASE WHEN y > 0 THEN 'inf' ELSE '-inf' END ELSE '' END AS kind, CASE WHEN isnan(y) OR isinf(y) THEN 0.0::DOUBLE ELSE round(y, 6) END AS value"
+
+    def run(s, d):
+        x = F.expr("CASE l_linenumber WHEN 1 THEN double('NaN') WHEN 2 THEN double('Infinity') WHEN 3 THEN 0.0D WHEN 4 THEN 10.0D WHEN 5 THEN double('-Infinity') ELSE l_quantity END")
+        y = F.col("y")
+        rows = line(s, d, x.alias("x"), "l_quantity").select("l_orderkey", "l_linenumber", make(F.col("x")).alias("y"))
+        if text:
+            return rows
+        none = F.isnan(y) | (F.abs(y) == float("inf"))
+        return rows.select("l_orderkey", "l_linenumber", F.when(F.isnan(y), "nan").when(y == float("inf"), "inf").when(y == float("-inf"), "-inf").otherwise("").alias("kind"), F.when(none, F.lit(0.0)).otherwise(F.round(y, 6)).alias("value"))
+
+    q(name, f"SELECT l_orderkey, l_linenumber, {'y' if text else said} FROM (SELECT l_orderkey, l_linenumber, {sql} AS y FROM (SELECT *, {_X} AS x FROM lineitem))")(run)
+
+
+ieee("ieee_rational", lambda x: C.rational(x, (0, 0, 7, 0, 1, -10)), "CASE WHEN isnan(x) THEN x WHEN abs(x - 10) > 1e-15 AND NOT isinf(x) THEN 7 / (x - 10) WHEN isinf(x) THEN x ELSE x END")
+ieee("ieee_divide", lambda x: C.algebraic(x, "5 / X"), "CASE WHEN isnan(x) THEN x WHEN x = 0 THEN 'inf'::DOUBLE WHEN isinf(x) THEN 0 ELSE 5 / x END")
+ieee("ieee_logarithm", lambda x: C.algebraic(x, "ln(X - 10)"), "CASE WHEN isnan(x) THEN x WHEN x = 'inf'::DOUBLE THEN x WHEN x = 10 THEN '-inf'::DOUBLE WHEN x < 10 THEN 'nan'::DOUBLE ELSE ln(x - 10) END")
+_K2 = [(0, 1.0), (10, 3.0), (20, 9.0)]
+ieee("ieee_table_interp", lambda x: C.table(x, _K2), "CASE WHEN isnan(x) THEN x WHEN x <= 0 THEN 1.0 WHEN x >= 20 THEN 9.0 WHEN x <= 10 THEN 1 + 2 * x / 10 ELSE 3 + 6 * (x - 10) / 10 END")
+ieee("ieee_table_nearest", lambda x: C.table(x, _K2, False), "CASE WHEN isnan(x) THEN x WHEN x <= 5 THEN 1.0 WHEN x <= 15 THEN 3.0 ELSE 9.0 END")
+ieee("ieee_range_value", lambda x: C.range_value(x, [(0, 10, 1.0), (10, 1e300, 2.0)], -1.0, False), "CASE WHEN isnan(x) OR isinf(x) THEN -1.0 WHEN x >= 0 AND x < 10 THEN 1.0 ELSE 2.0 END")
+ieee("ieee_value_text", lambda x: C.value_text(x, [(float("nan"), "never"), (0.0, "zero"), (10.0, C.linear(x, (0.5, 0.0)).cast("string"))], "other"), "CASE WHEN x = 0 THEN 'zero' WHEN x = 10 THEN '0.5' ELSE 'other' END", text=True)
+q("bits_of_64", "SELECT o_orderkey, o_orderkey AS u, o_orderkey AS v FROM orders")(lambda s, d: t(s, d, "orders").select("o_orderkey", C.bits_unsigned(F.col("o_orderkey"), 0, 64).alias("u"), C.bits_signed(F.col("o_orderkey"), 0, 64).alias("v")))
+
 
 @query("align_series", "SELECT coalesce(a.o_orderkey, b.k) AS k, a.o_totalprice AS price, b.q FROM orders a FULL JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1) b ON a.o_orderkey = b.k")
 def align_series(s, d):
@@ -117,4 +179,4 @@ def align_series(s, d):
     return a.join(b, "k", "full").select("k", "price", "q")
 
 
-QUERIES, SQL = _Q, _SQL
+QUERIES, SQL = _Q | recorded.QUERIES, _SQL | recorded.SQL

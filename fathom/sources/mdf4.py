@@ -1,283 +1,199 @@
-"""ASAM MDF 4.1 files as a Spark data source: one table per channel group.
-
-Reading: ``spark.read.format("mdf4").option("group", 0).load(path)``. A task reads
-a range of records by seek, so a file splits over executors; only the metadata
-blocks are read on the driver. ``path`` is on storage all executors mount.
-Writing takes whole and floating numbers, little-endian, one group per frame.
+"""ASAM MDF 4.1 recordings as a Spark data source: one table per channel group.
+
+``spark.read.format("mdf4").load(path)``, where ``path`` is a file, a folder, a
+pattern, or several of them parted by commas, on storage all executors mount, or
+an http address. Options: ``group`` (number or name, default 0), ``channels``
+(names parted by commas: only these are decoded), ``raw`` (no conversions),
+``index`` (a saved index instead of a walk), ``first_record`` and ``records`` (a
+window: only its bytes are read; beyond the last record it is an error),
+``records_per_partition``. ``_record`` counts the records of all files, in the
+order of their names. Filters are not taken from Spark: Spark 4.1 keeps what a
+Python source was given for one query in all later ones of the same DataFrame.
+
+Writing makes a folder with a file a task; commit only renames. With one task and
+a path that ends in .mf4 it makes that file. Options: ``master``, ``group_name``,
+``group_comment``, ``start_time_ns``, ``tz_min``, ``dst_min``. Column metadata:
+unit, comment, unsigned, source, linear, texts and default, conversion.
 """
 
 from __future__ import annotations
 
+import glob
+import json
 import os
-import struct
+import shutil
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
-
-SPLIT = 4 << 20
-PART_RECORDS = 1 << 20
+from pyspark.sql.types import BinaryType, DataType, DecimalType, DoubleType, LongType, StringType, StructField, StructType
 
+from fathom.errors import BeyondEnd, CannotWrite, NotFound, WrongBlock
+from fathom.sources.blocks import Channel, Group, from_plain, recording
+from fathom.sources.decode import column, result_kind
+from fathom.sources.ranges import local, open_ranges
+from fathom.sources.writer import FileWriter, channel_for, layout, records
 
-@dataclass
-class Channel:
-    name: str | None
-    kind: int
-    data_type: int
-    bit_offset: int
-    byte_offset: int
-    bits: int
-    flags: int
-    invalid_bit: int
-    unit: str | None
-    comment: str | None
-    conversion: tuple | None
-    data: int
+PART_RECORDS = 1 << 20
+BATCH = 65536
+_SPARK = {"u64": DecimalType(20, 0), "i64": LongType(), "f64": DoubleType(), "text": StringType(), "bytes": BinaryType(), "none": BinaryType()}
 
 
-@dataclass
-class Group:
-    name: str | None
-    comment: str | None
-    records: int
-    data_bytes: int
-    invalid_bytes: int
-    record_id: int
-    data: int
-    channels: list[Channel] = field(default_factory=list)
-
-    @property
-    def record_size(self) -> int:
-        return self.record_id + self.data_bytes + self.invalid_bytes
-
-
-def block(f, at: int) -> tuple[bytes, tuple[int, ...], bytes]:
-    f.seek(at)
-    name, _, size, links = struct.unpack("<4sIQQ", f.read(24))
-    body = f.read(size - 24)
-    return name, struct.unpack_from(f"<{links}Q", body), body[8 * links :]
-
-
-def text(f, at: int) -> str | None:
-    if not at:
-        return None
-    name, _, body = block(f, at)
-    return body.decode("utf-8", "replace").strip("\0") if name in (b"##TX", b"##MD") else None
-
-
-def conversion(f, at: int, depth: int = 0) -> tuple | None:
-    """(type, values, refs): refs are texts, nested conversions or None."""
-    if not at:
-        return None
-    if depth > 20:
-        raise ValueError("conversions nest too deep or in a cycle")
-    name, links, body = block(f, at)
-    if name != b"##CC":
-        return None
-    kind, n = body[0], struct.unpack_from("<H", body, 6)[0]
-    refs = []
-    for r in links[4:]:
-        f.seek(r)
-        refs.append(None if not r else conversion(f, r, depth + 1) if f.read(4) == b"##CC" else text(f, r))
-    return kind, struct.unpack_from(f"<{n}d", body, 24), tuple(refs)
-
-
-def groups(path: str) -> tuple[int, list[Group]]:
-    """Start time (ns since the epoch, 0 if none) and the channel groups in order."""
-    with open(path, "rb") as f:
-        head = f.read(64)
-        if head[:8] != b"MDF     " or struct.unpack_from("<H", head, 28)[0] < 410:
-            raise ValueError("not an MDF file of version 4.10 or later")
-        _, links, body = block(f, 64)
-        start, dg, out = struct.unpack_from("<Q", body)[0], links[0], []
-        while dg:
-            _, (nxt, cg, data, _), dbody = block(f, dg)
-            while cg:
-                _, g, b = block(f, cg)
-                _, cycles, _, _, _, n, inv = struct.unpack_from("<QQHHIII", b)
-                group = Group(text(f, g[2]), text(f, g[5]), cycles, n, inv, dbody[0], data)
-                cn = g[1]
-                while cn:
-                    _, c, b = block(f, cn)
-                    kind, _, dtype, bit = b[:4]
-                    byte, bits, flags, pos = struct.unpack_from("<IIII", b, 4)
-                    group.channels.append(Channel(text(f, c[2]), kind, dtype, bit, byte, bits, flags, pos, text(f, c[6]), text(f, c[7]), conversion(f, c[4]), c[5]))
-                    cn = c[0]
-                out.append(group)
-                cg = g[0]
-            dg = nxt
-    return start, out
-
-
-def fragments(f, at: int) -> list[tuple[int, int]]:
-    """(offset, bytes) of the data of a ##DT/##DV/##SD block or a list of them."""
+def files(path: str) -> list[str]:
+    """The recordings that a path names, in the order of their names."""
     out = []
-    while at:
-        f.seek(at)
-        name, _, size, n = struct.unpack("<4sIQQ", f.read(24))
-        if name != b"##DL":
-            if name not in (b"##DT", b"##DV", b"##SD", b"##RD"):
-                raise ValueError(f"can't read data in {name!r} blocks")
-            return [*out, (at + 24, size - 24)]
-        links = struct.unpack(f"<{n}Q", f.read(8 * n))
-        for link in links[1:]:
-            out += fragments(f, link)
-        at = links[0]
+    for p in path.split(","):
+        p = p.strip()
+        if p.startswith(("http://", "https://")):
+            out.append(p)
+            continue
+        p = local(p)
+        if os.path.isdir(p):
+            out += sorted(os.path.join(d, x) for d, _, names in os.walk(p) for x in names if x.lower().endswith((".mf4", ".mdf")) and not x.startswith((".", "_")))
+        else:
+            out += sorted(glob.glob(p)) if glob.has_magic(p) else [p]
     return out
 
 
-def spark_type(c: Channel) -> DataType:
-    if c.conversion and c.conversion[0] in (1, 2, 4, 5, 6):
-        return DoubleType()
-    if c.conversion and c.conversion[0] in (7, 8):
-        return StringType()
-    if c.data_type in (6, 7, 8, 9):
-        return StringType()
-    if c.data_type <= 3:
-        return LongType()
-    return DoubleType() if c.data_type in (4, 5) else BinaryType()
+def spark_type(c: Channel, raw: bool = False) -> DataType:
+    return _SPARK[result_kind(c, None if raw else c.conversion)]
 
 
-def columns(g: Group) -> StructType:
+def names(g: Group) -> list[str]:
+    """Column names: unnamed channels by number, repeated names with a count."""
     seen: dict[str, int] = {}
-    out = [StructField("_record", LongType(), False)]
+    out = []
     for i, c in enumerate(g.channels):
         name = c.name or f"channel_{i}"
         seen[name] = seen.get(name, 0) + 1
-        out.append(StructField(name if seen[name] == 1 else f"{name}_{seen[name]}", spark_type(c), True, {"unit": c.unit or "", "comment": c.comment or ""}))
+        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    return out
+
+
+def columns(g: Group, only: list[str] | None = None, raw: bool = False) -> StructType:
+    out = [StructField("_record", LongType(), False)]
+    for name, c in zip(names(g), g.channels):
+        if only is None or name in only:
+            source = [c.source.name, c.source.path, c.source.comment] if c.source else None
+            out.append(StructField(name, spark_type(c, raw), True, {k: v for k, v in (("unit", c.unit), ("comment", c.comment), ("source", source and json.dumps(source))) if v}))
     return StructType(out)
 
 
-def raw_values(c: Channel, rows: np.ndarray, record_id: int):
-    """Raw values of a channel in records (n, record_size)."""
-    at = record_id + c.byte_offset
-    if c.data_type >= 6:
-        part = np.ascontiguousarray(rows[:, at : at + c.bits // 8])
-        raw = [r.tobytes() for r in part]
-        codec = {6: "latin-1", 7: "utf-8", 8: "utf-16-le", 9: "utf-16-be"}.get(c.data_type)
-        return [r.decode(codec, "replace").rstrip("\0") for r in raw] if codec else raw
-    size = max(1, -(-(c.bit_offset + c.bits) // 8))
-    if size > 8 or not c.bits or at + size > rows.shape[1]:
-        return None
-    part = rows[:, at : at + size].astype(np.uint64)
-    if c.data_type in (1, 3, 5):
-        part = part[:, ::-1]
-    v = np.zeros(len(rows), np.uint64)
-    for k in range(size):
-        v |= part[:, k] << np.uint64(8 * k)
-    v >>= np.uint64(c.bit_offset)
-    if c.bits < 64:
-        v &= np.uint64((1 << c.bits) - 1)
-    if c.data_type in (4, 5):
-        if c.bits not in (32, 64):
-            return None
-        return (v.astype(np.uint32).view(np.float32) if c.bits == 32 else v.view(np.float64)).astype(np.float64)
-    v = v.view(np.int64)
-    if c.data_type in (2, 3) and c.bits < 64:
-        sign = np.int64(1 << (c.bits - 1))
-        v = (v ^ sign) - sign
-    return v
-
-
-def physical(c: tuple | None, v: np.ndarray):
-    """Values after a conversion; what it can't convert stays as it is."""
-    if c is None or isinstance(v, list):
-        return v
-    kind, p, refs = c
-    x = v.astype(np.float64)
-    if kind == 1:
-        return p[0] + p[1] * x if len(p) >= 2 else x
-    if kind == 2 and len(p) >= 6:
-        below = p[3] * x * x + p[4] * x + p[5]
-        ok = np.abs(below) > np.finfo(float).eps
-        return np.where(ok, (p[0] * x * x + p[1] * x + p[2]) / np.where(ok, below, 1), x)
-    if kind in (4, 5) and len(p) >= 4 and len(p) % 2 == 0:
-        k, y = np.array(p[0::2]), np.array(p[1::2])
-        if kind == 4:
-            return np.interp(x, k, y)
-        hi = np.clip(np.searchsorted(k, x), 1, len(k) - 1)
-        return np.where(k[hi] - x < x - k[hi - 1], y[hi], y[hi - 1])
-    whole = v.dtype.kind in "iu"
-    if kind == 6 and len(p) >= 4 and len(p) % 3 == 1:
-        out, open_ = np.full(len(x), p[-1]), np.ones(len(x), bool)
-        for a, b, y in zip(p[0:-1:3], p[1:-1:3], p[2:-1:3]):
-            m = open_ & (x >= a) & ((x <= b) if whole else (x < b))
-            out[m], open_[m] = y, False
-        return out
-    if kind in (7, 8):
-        n = len(p) if kind == 7 else len(p) // 2
-        index, open_ = np.full(len(x), n), np.ones(len(x), bool)
-        for i in range(n):
-            m = open_ & ((x == p[i]) if kind == 7 else (x >= p[2 * i]) & ((x <= p[2 * i + 1]) if whole else (x < p[2 * i + 1])))
-            index[m], open_[m] = i, False
-        out: list = [None] * len(x)
-        for i in np.unique(index):
-            ref = refs[i] if i < len(refs) else None
-            at = np.flatnonzero(index == i)
-            part = physical(ref, v[at]) if isinstance(ref, tuple) else [ref] * len(at)
-            for j, value in zip(at, part):
-                out[j] = value if value is None or isinstance(value, str) else str(value)
-        return out
-    return x if kind in (2, 4, 5, 6) else v
+def pick(groups: list[Group], which: str) -> Group:
+    """A group by number, or the first of a name."""
+    if which.isdigit() and int(which) < len(groups):
+        return groups[int(which)]
+    for g in groups:
+        if g.name == which:
+            return g
+    raise NotFound(f"no group {which!r}")
+
+
+def layout_key(g: Group) -> tuple:
+    """What two groups must share to be one table."""
+    return g.id_bytes, *((c.name, c.data_type, c.bit_offset, c.byte_offset, c.bits, c.kind, c.variable) for c in g.channels)
+
 
+def rows_of(raw: bytes, g: Group) -> np.ndarray:
+    n = len(raw) // max(1, g.record_size)
+    return np.frombuffer(raw, np.uint8, n * g.record_size).reshape(n, g.record_size)
 
-def validity(c: Channel, rows: np.ndarray, g: Group) -> np.ndarray | None:
-    """Where the values are invalid; None if nowhere."""
-    if c.flags & 1:
-        return np.ones(len(rows), bool)
-    at = g.record_id + g.data_bytes + (c.invalid_bit >> 3)
-    if not c.flags & 2 or at >= rows.shape[1]:
-        return None
-    return (rows[:, at] >> (c.invalid_bit & 7) & 1).astype(bool)
+
+def routed(reader, g: Group):
+    """The records (n, size) of a group whose data holds records of several groups, found by their ids."""
+    kept, rest = [], b""
+    for at, size in g.fragments:
+        raw, i = rest + reader.read(at, size), 0
+        while i + g.id_bytes <= len(raw):
+            number = int.from_bytes(raw[i : i + g.id_bytes], "little")
+            if (width := g.siblings.get(str(number))) is None:
+                raise WrongBlock(f"no group has the record id {number}")
+            if i + width > len(raw):
+                break
+            if number == g.record_id:
+                kept.append(raw[i : i + width])
+                if len(kept) == BATCH:
+                    yield rows_of(b"".join(kept), g)
+                    kept = []
+            i += width
+        rest = raw[i:]
+    if kept:
+        yield rows_of(b"".join(kept), g)
+
+
+def batches(reader, g: Group, spans):
+    """Records (n, size) of ranges (offset, records) of a group."""
+    for at, n in spans:
+        for a in range(0, n, BATCH):
+            yield rows_of(reader.read(at + a * g.record_size, min(BATCH, n - a) * g.record_size), g)
+
+
+def whole_spans(g: Group) -> list[tuple[int, int]]:
+    """(offset, records) of each fragment; a partial record at its end is none."""
+    return [(at, size // g.record_size) for at, size in g.fragments if g.record_size]
 
 
 @dataclass
 class Range(InputPartition):
+    path: str
+    group: Group
     first: int
-    spans: list
+    spans: list | None  # None: all records, by their ids
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, number: int, schema: StructType, per_part: int):
-        self.path, self.number, self.fields, self.per_part = path, number, schema, per_part
+    def __init__(self, found: list[tuple[str, Group]], schema: StructType, raw: bool, per_part: int, low: int = 0, count: int | None = None):
+        self.found, self.fields, self.raw, self.per_part, self.low, self.count = found, schema, raw, per_part, low, count
 
     def partitions(self):
-        _, all_ = groups(self.path)
-        g, out, first = all_[self.number], [], 0
-        with open(self.path, "rb") as f:
-            for at, size in fragments(f, g.data):
-                n = size // max(1, g.record_size)  # a partial last record is no record
-                for a in range(0, n, self.per_part):
-                    k = min(self.per_part, n - a)
-                    out.append(Range(first + a, [(at + a * g.record_size, k)]))
+        out, first = [], 0
+        high = 1 << 62 if self.count is None else self.low + self.count
+        for path, g in self.found:
+            if g.mixed:
+                if self.low or self.count is not None:
+                    raise WrongBlock("records of several groups lie mixed: a window of them can't be read")
+                out.append(Range(path, g, first, None))
+                first += g.records
+                continue
+            for at, n in whole_spans(g):
+                a, b = max(0, self.low - first), min(n, high - first)
+                for x in range(a, b, self.per_part):
+                    out.append(Range(path, g, first + x, [(at + x * g.record_size, min(self.per_part, b - x))]))
                 first += n
-        return out or [Range(0, [])]
+        if self.count is not None and high > first:
+            raise BeyondEnd(f"records {self.low} to {high} of {first}")
+        return out or [Range("", self.found[0][1], 0, [])]
 
     def read(self, partition):
-        _, all_ = groups(self.path)
-        g = all_[self.number]
-        done = partition.first
-        types = [pa.int64()] + [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}[s.dataType.simpleString()] for s in self.fields[1:]]
-        with open(self.path, "rb") as f:
-            for at, n in partition.spans:
-                for a in range(0, n, 65536):
-                    k = min(65536, n - a)
-                    f.seek(at + a * g.record_size)
-                    rows = np.frombuffer(f.read(k * g.record_size), np.uint8).reshape(k, g.record_size)
-                    cols = [pa.array(np.arange(done, done + k))]
-                    for c, t in zip(g.channels, types[1:]):
-                        v = None if c.kind == 1 else raw_values(c, rows, g.record_id)
-                        v = [None] * k if v is None else physical(c.conversion, v)
-                        bad = validity(c, rows, g)
-                        cols.append(pa.array(v, t, mask=bad) if not isinstance(v, list) else pa.array([None if bad is not None and bad[i] else x for i, x in enumerate(v)], t))
-                    done += k
-                    yield pa.RecordBatch.from_arrays(cols, self.fields.names)
-
-
-_WRITE = {LongType: (2, 8, "<i8"), IntegerType: (2, 4, "<i4"), ShortType: (2, 2, "<i2"), BooleanType: (0, 1, "u1"), FloatType: (4, 4, "<f4"), DoubleType: (4, 8, "<f8")}
+        g, done = partition.group, partition.first
+        if partition.spans == []:
+            return
+        by_name = dict(zip(names(g), g.channels))
+        wanted = [by_name.get(f.name) for f in self.fields if f.name != "_record"]
+        fields = pa.schema([(f.name, pa.int64() if f.name == "_record" else _arrow(f.dataType)) for f in self.fields])
+        reader = open_ranges(partition.path)
+        try:
+            for rows in routed(reader, g) if partition.spans is None else batches(reader, g, partition.spans):
+                values = iter(wanted)
+                cols = [pa.array(np.arange(done, done + len(rows))) if f.name == "_record" else _cast(next(values), rows, g, reader, self.raw, f.type) for f in fields]
+                done += len(rows)
+                yield pa.RecordBatch.from_arrays(cols, schema=fields)
+        finally:
+            reader.close()
+
+
+def _cast(c: Channel | None, rows, g, reader, raw: bool, kind: pa.DataType) -> pa.Array:
+    if c is None:
+        return pa.nulls(len(rows), kind)
+    out = column(c, rows, g, reader, raw)
+    return out if out.type == kind else out.cast(kind)
+
+
+def _arrow(t: DataType) -> pa.DataType:
+    return {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "decimal(20,0)": pa.decimal128(20, 0)}[t.simpleString()]
 
 
 @dataclass
@@ -287,75 +203,67 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Tasks write record files beside the target; the driver links them as ##DT blocks of at most 4 MiB."""
+    """A task writes a whole file under a hidden name; commit renames."""
+
+    def __init__(self, path: str, schema: StructType, options: dict, overwrite: bool):
+        self.path, self.options, self.overwrite = local(path), options, overwrite
+        self.fields = [f for f in schema.fields if f.name != "_record"]
+        self.one = self.path.lower().endswith(".mf4")
+        self.folder = os.path.dirname(self.path) if self.one else self.path
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    def __init__(self, path: str, schema: StructType, options: dict):
-        self.path, self.fields, self.options = path, [f for f in schema.fields if f.name != "_record"], options
         for f in self.fields:
-            if type(f.dataType) not in _WRITE:
-                raise ValueError(f"can't write {f.name}: {f.dataType.simpleString()}")
+            channel_for(pa.field(f.name, to_arrow_type(f.dataType)), f.metadata or {})
 
     def write(self, batches):
-        dtype = np.dtype([(f"c{i}", _WRITE[type(f.dataType)][2]) for i, f in enumerate(self.fields)] + [("_invalid", "u1", ((len(self.fields) + 7) // 8,))])
-        part, n = f"{self.path}.{uuid.uuid4().hex}.part", 0
-        with open(part, "wb") as out:
+        os.makedirs(self.folder or ".", exist_ok=True)
+        path, w, o = os.path.join(self.folder, f".part-{uuid.uuid4().hex}.mf4"), None, self.options
+        from pyspark import TaskContext
+
+        with open(path, "wb") as f:
+            n = 0
             for b in batches:
-                rows = np.zeros(b.num_rows, dtype)
-                for i, f in enumerate(self.fields):
-                    col = b.column(b.schema.get_field_index(f.name))
-                    if col.null_count:
-                        rows["_invalid"][:, i >> 3] |= np.asarray(col.is_null()).astype(np.uint8) << (i & 7)
-                        col = col.fill_null(0 if not isinstance(f.dataType, BooleanType) else False)
-                    rows[f"c{i}"] = col.to_numpy(zero_copy_only=False)
-                out.write(rows.tobytes())
-                n += len(rows)
-        return Written(part, n)
+                b = b.select([x.name for x in self.fields])
+                if w is None:
+                    channels = [channel_for(x, s.metadata or {}) for x, s in zip(b.schema, self.fields)]
+                    for c in channels:
+                        if c.name == o.get("master"):
+                            c.kind, c.sync = 2, 1
+                    g = layout(channels, o.get("group_name"), o.get("group_comment"))
+                    w = FileWriter(f, int(o.get("start_time_ns", 0)), int(o.get("tz_min", 0)), int(o.get("dst_min", 0)))
+                    w.begin(g)
+                w.append(*records(g, b))
+                n += b.num_rows
+            if w is not None:
+                w.finish()
+                w.close()
+        if w is None:
+            os.remove(path)
+            return Written("", 0)
+        final = os.path.join(self.folder, f".part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.mf4")
+        os.rename(path, final)
+        return Written(final, n)
 
     def abort(self, messages):
         for m in messages:
-            if m and os.path.exists(m.path):
+            if m and m.path and os.path.exists(m.path):
                 os.remove(m.path)
 
     def commit(self, messages):
-        parts = [m for m in messages if m and m.records]
-        widths = [_WRITE[type(f.dataType)][1] for f in self.fields]
-        inv, size = (len(widths) + 7) // 8, sum(widths) + (len(widths) + 7) // 8
-        with open(self.path, "wb") as f:
-
-            def put(name: bytes, links, body: bytes) -> int:
-                f.write(b"\0" * (-f.tell() % 8))
-                at = f.tell()
-                f.write(struct.pack("<4sIQQ", name, 0, 24 + 8 * len(links) + len(body), len(links)) + struct.pack(f"<{len(links)}Q", *links) + body)
-                return at
-
-            def words(s: str | None) -> int:
-                return put(b"##TX", (), s.encode() + b"\0" * (8 - len(s.encode()) % 8)) if s else 0
-
-            f.write(struct.pack("<8s8s8s4sH34x", b"MDF     ", b"4.10    ", b"fathom  ", b"\0" * 4, 410))
-            head = put(b"##HD", (0,) * 6, struct.pack("<QhhBBBBdd", int(self.options.get("start_time_ns", 0)), 0, 0, 0, 0, 0, 0, 0.0, 0.0))
-            nxt, at = 0, [0]
-            for w in widths:
-                at.append(at[-1] + w)
-            master = self.options.get("master")
-            for i in range(len(self.fields) - 1, -1, -1):
-                s = self.fields[i]
-                name, unit = words(s.name), words((s.metadata or {}).get("unit"))
-                is_time = s.name == master
-                nxt = put(b"##CN", (nxt, 0, name, 0, 0, 0, unit, 0), struct.pack("<BBBBIIIIBBH6d", 2 if is_time else 0, int(is_time), _WRITE[type(s.dataType)][0], 0, at[i], 8 * widths[i], 2, i, 0, 0, 0, *([0.0] * 6)))
-            total = sum(m.records for m in parts)
-            cg = put(b"##CG", (0, nxt, words(self.options.get("group_name")), 0, 0, 0), struct.pack("<QQHHIII", 0, total, 0, 0, 0, at[-1], inv))
-            per, blocks, offsets, seen = max(1, SPLIT // size), [], [], 0
-            for m in parts:
-                with open(m.path, "rb") as src:
-                    while raw := src.read(per * size):
-                        blocks.append(put(b"##DT", (), raw))
-                        offsets.append(seen)
-                        seen += len(raw)
-                os.remove(m.path)
-            data = blocks[0] if len(blocks) == 1 else put(b"##DL", (0, *blocks), struct.pack("<B3xI", 0, len(blocks)) + struct.pack(f"<{len(offsets)}Q", *offsets)) if blocks else put(b"##DT", (), b"")
-            dg = put(b"##DG", (0, cg, data, 0), bytes(8))
-            f.seek(head + 24)
-            f.write(struct.pack("<Q", dg))
+        parts = [m for m in messages if m and m.path]
+        if self.one:
+            if len(parts) > 1:
+                self.abort(parts)
+                raise CannotWrite(f"{len(parts)} tasks hold records: coalesce(1) for one file, or name a folder")
+            if parts:
+                os.replace(parts[0].path, self.path)
+            return
+        if self.overwrite and os.path.isdir(self.path):
+            for x in os.listdir(self.path):
+                if x.endswith(".mf4") and not x.startswith("."):
+                    os.remove(os.path.join(self.path, x))
+        for m in parts:
+            os.rename(m.path, os.path.join(self.folder, os.path.basename(m.path)[1:]))
 
 
 class Mdf4(DataSource):
@@ -363,38 +271,54 @@ class Mdf4(DataSource):
     def name(cls):
         return "mdf4"
 
-    @property
-    def number(self) -> int:
-        return int(self.options.get("group", 0))
+    def flag(self, name: str) -> bool:
+        return str(self.options.get(name, "false")).lower() == "true"
+
+    def found(self) -> list[tuple[str, Group]]:
+        """The group of each file; all have the layout of the first."""
+        which, out = str(self.options.get("group", 0)), []
+        if "index" in self.options:
+            with open(local(self.options["index"]), encoding="utf-8") as f:
+                plain = json.load(f)
+            return [(self.options.get("path") or plain["source"], pick(from_plain(plain["recording"]).groups, which))]
+        for path in files(self.options["path"]):
+            g = pick(recording(path).groups, which)
+            if out and layout_key(g) != layout_key(out[0][1]):
+                raise WrongBlock(f"{path} has other channels than {out[0][0]}")
+            out.append((path, g))
+        if not out:
+            raise NotFound(f"no recording at {self.options['path']}")
+        return out
 
     def schema(self):
-        return columns(groups(self.options["path"])[1][self.number])
+        only = self.options.get("channels")
+        return columns(self.found()[0][1], only and [x.strip() for x in only.split(",")], self.flag("raw"))
 
     def reader(self, schema):
-        return Reader(self.options["path"], self.number, schema, int(self.options.get("records_per_partition", PART_RECORDS)))
+        o = self.options
+        count = int(o["records"]) if "records" in o else None
+        return Reader(self.found(), schema, self.flag("raw"), int(o.get("records_per_partition", PART_RECORDS)), int(o.get("first_record", 0)), count)
 
     def writer(self, schema, overwrite):
-        return Writer(self.options["path"], schema, dict(self.options))
-
-
-def catalog_rows(path: str) -> list[tuple]:
-    """(group number, group, channel number, channel, unit, comment, is master, records), unnamed ones kept."""
-    return [(i, g.name, j, c.name, c.unit, c.comment, c.kind in (2, 3), g.records) for i, g in enumerate(groups(path)[1]) for j, c in enumerate(g.channels)]
-
-
-def byte_ranges(path: str, group: int, channel: int, start: int, count: int) -> list[tuple[int, int]]:
-    """(offset, length) per data block that a partial read of a channel needs."""
-    g = groups(path)[1][group]
-    if start + count > g.records:
-        raise ValueError("beyond the last record")
-    c, out, seen = g.channels[channel], [], 0
-    width = max(1, -(-(c.bit_offset + c.bits) // 8))
-    with open(path, "rb") as f:
-        for at, size in fragments(f, g.data):
-            n = size // g.record_size
-            a, b = max(start, seen), min(start + count, seen + n)
-            if a < b:
-                first = at + (a - seen) * g.record_size + g.record_id + c.byte_offset
-                out.append((first, (b - a - 1) * g.record_size + width))
-            seen += n
-    return out
+        return Writer(self.options["path"], schema, dict(self.options), overwrite)
+
+
+def read(spark: SparkSession, path: str, group: int | str = 0, channels: list[str] | None = None, **options) -> DataFrame:
+    """A group, or some of its channels, as a DataFrame."""
+    spark.dataSource.register(Mdf4)
+    r = spark.read.format("mdf4").option("group", group)
+    for k, v in (options | ({"channels": ",".join(channels)} if channels else {})).items():
+        r = r.option(k, v)
+    return r.load(path)
+
+
+def write(df: DataFrame, path: str, mode: str = "append", **options) -> None:
+    df.sparkSession.dataSource.register(Mdf4)
+    w = df.write.format("mdf4").mode(mode)
+    for k, v in options.items():
+        w = w.option(k, v)
+    w.save(path)
+
+
+def remove(path: str) -> None:
+    shutil.rmtree(local(path), ignore_errors=True)

@@ -1 +1 @@
-"""Streaming forms: the operators here are stateless and run unchanged on streaming DataFrames."""
+"""A folder of recordings as a stream."""
