@@ -185,5 +185,7 @@ def quality_rules(docs: DataFrame, references: dict, *, max_char: float = 0.22,
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over all documents; distances to six digits."""
     docs = table(spark, sf_dir, "documents")
-    return quality_rules(docs, language_references(docs))
+    rows = quality_rules(docs, language_references(docs))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})

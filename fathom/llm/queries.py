@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fathom.llm import decontaminate, license_scan, line_dedup, packing, quality_cnn, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from fathom.llm import decontaminate, license_scan, line_dedup, oracle, packing, quality_cnn, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
@@ -18,4 +18,4 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_divergence": oracle.QUALITY, "op4_line_dedup": oracle.LINES}
