@@ -76,11 +76,25 @@ def test_line_dedup(docs):
     assert out[0].text is None and out[1].text == ""
 
 
+def find(items, text):
+    """Leaks of one text through the operator's parts: (item, covered words, share, first word)."""
+    own, templates, out = [t.encode() for _, t in items], decontaminate.Templates(), []
+    hits = {}
+    for k, n, h, p, words, marks in decontaminate.item_windows(own, templates):
+        w, _, first, _, (split,), *_ = decontaminate.text_windows([text.encode()], n, templates)
+        for i in first[w.view(np.int64) == h].tolist():
+            hits.setdefault(k, []).append((p, i, words, b" ".join(split[i : i + n]), marks))
+    for k, h in sorted(hits.items()):
+        if x := decontaminate.leak(len(own[k].split()), h):
+            out.append((items[k][0], *x))
+    return out
+
+
 def test_decontaminate(spark, docs):
     bench = spark.createDataFrame([(70, PASSAGE), (71, prose(50, 40)), (72, None)], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, bench).collect()} == {(5, 70), (6, 70)}
     a, b = b"The train left at 5 km from town with 7 bags and 12 men", "The train left at 9 km from town with 3 bags and 40 men"
-    assert decontaminate.Matcher([(1, a.decode())]).find(b)
+    assert find([(1, a.decode())], b)
 
 
 def test_licenses(docs):
@@ -173,15 +187,14 @@ def test_substrings_edited(spark):
 def test_decontaminate_names():
     own = "Tom has 3 apples. Anna buys 5 more. Tom gives Anna 2 of them. How many are left?"
     other = "Ben has 4 apples. Lucy buys 7 more. Ben gives Lucy 3 of them. How many are left?"
-    find = decontaminate.Matcher([(1, own)]).find
-    assert find(own) == [(1, 18, 1.0, 0)] and find(f"Well then: {other} Ok.") == [(1, 18, 1.0, 2)]
-    assert not find(other.replace("apples", "pears").replace("gives", "owes"))
+    assert find([(1, own)], own) == [(1, 18, 1.0, 0)] and find([(1, own)], f"Well then: {other} Ok.") == [(1, 18, 1.0, 2)]
+    assert not find([(1, own)], other.replace("apples", "pears").replace("gives", "owes"))
 
 
 def test_decontaminate_equal_values():
-    find = decontaminate.Matcher([(1, "she put 2 apples and 3 pears into the old basket"), (2, "we saw 2 cats and then 2 dogs near the old barn")]).find
-    assert find("she put 4 apples and 4 pears into the old basket") == [(1, 11, 1.0, 0)]
-    assert not find("we saw 5 cats and then 6 dogs near the old barn")
+    items = [(1, "she put 2 apples and 3 pears into the old basket"), (2, "we saw 2 cats and then 2 dogs near the old barn")]
+    assert find(items, "she put 4 apples and 4 pears into the old basket") == [(1, 11, 1.0, 0)]
+    assert not find(items, "we saw 5 cats and then 6 dogs near the old barn")
 
 
 def test_restores_marks_and_doubles():
