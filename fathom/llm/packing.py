@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut, map_rows, row_key, table
 
 SHARD = 1000
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 3, 4
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 3, 3, 6
 CACHE = 600_000
 
 
@@ -32,6 +32,8 @@ class Ids:
 
     _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
 
+    _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -54,7 +56,12 @@ class Ids:
         known, parts = self.known, self.parts
         plain, cores, marks, other = [], [], [], []
         for w in words:
-            if m := self._PLAIN.fullmatch(w):
+            a = w.rstrip(self._MARKS)
+            if a.isalpha():  # of bytes: ASCII letters
+                plain.append(w)
+                cores.append(a)
+                marks.append(w[len(a) :])
+            elif m := self._PLAIN.fullmatch(w):
                 a, b = m.groups()
                 plain.append(w)
                 cores.append(a)
@@ -156,10 +163,17 @@ def first_people(sizes, room: int, island: int, rng: random.Random, number: int
     return out
 
 
+def settled(packing: Packing, room: int) -> bool:
+    """Whether no packing can do better: the least number of bins, and all but one well filled."""
+    return len(packing[0]) <= -(-sum(packing[1]) // room) and sum(f < 0.97 * room for f in packing[1]) <= 1
+
+
 def epoch(people: list[Packing], sizes, room: int, rng: random.Random, generations: int = GENERATIONS) -> list[Packing]:
-    """``people`` after some generations, the fittest first: a child takes the place of the least fit if it is fitter."""
+    """``people`` after one generation or more, the fittest first, until the fittest is settled: a child takes the place of the least fit if it is fitter."""
     people = sorted(people, key=fitness, reverse=True)
-    for _ in range(generations if len(people) > 1 and len(sizes) > 1 else 0):
+    for k in range(generations if len(people) > 1 and len(sizes) > 1 else 0):
+        if k and settled(people[0], room):
+            break
         one, other = rng.sample(people, 2)
         child = crossover(one, other, sizes, room, rng)
         if fitness(child) > fitness(people[-1]):
