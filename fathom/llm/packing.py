@@ -71,7 +71,8 @@ class Ids:
         cores = b"\n".join(cores).decode().lower().encode().split(b"\n")
         new = [x for x in {*cores, *marks} if x not in parts]
         if new:
-            ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
+            some = [b" ".join(new[k : k + 100]).decode() for k in range(0, len(new), 100)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
             raw, at = ids.tobytes(), 0
             for part, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
                 parts[part], at = raw[at:end], end
@@ -79,7 +80,7 @@ class Ids:
             known[w] = parts[a] + parts[b]
         for at in range(0, len(other), 2000):
             some = other[at : at + 2000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
 
 
