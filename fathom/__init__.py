@@ -1 +1,19 @@
-"""Measurement data on Spark."""
+"""Recorded measurement data on Spark.
+
+``fathom.read`` and ``fathom.write`` for DataFrames, ``fathom.Index`` for lookups
+and partial reads of one recording, ``cut_*`` and ``merge_files`` for whole
+recordings, ``Layout`` for their blocks. All errors are ``fathom.MdfError``.
+"""
+
+from fathom.errors import MdfError
+from fathom.sources.binary import read_binary
+from fathom.sources.files import cut_file, cut_file_utc, cut_files, merge_files
+from fathom.sources.index import Index, Signal, catalog, data_blocks, find_channel, list_groups, masters
+from fathom.sources.layout import Layout
+from fathom.sources.mdf4 import Mdf4, read, write
+from fathom.sources.writer import write_groups
+
+__all__ = [
+    "Index", "Layout", "Mdf4", "MdfError", "Signal", "catalog", "cut_file", "cut_file_utc", "cut_files", "data_blocks", "find_channel", "list_groups", "masters", "merge_files",
+    "read", "read_binary", "write", "write_groups",
+]

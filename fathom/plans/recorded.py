@@ -7,16 +7,20 @@ import os
 import shutil
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.sources import mdf4
+from fathom.sources.binary import read_binary
+from fathom.sources.blocks import Channel, Group
 from fathom.sources.files import cut_files, merge_files
 from fathom.sources.index import catalog, find_channel, list_groups, masters
 from fathom.sources.layout import Layout
 from fathom.sources.ranges import local
-from fathom.sources.writer import write_groups
+from fathom.sources.writer import FileWriter, write_groups
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,6 +137,43 @@ def merge_recordings(s, d):
     return mdf4.read(s, f"{path}/c.mf4").drop("_record")
 
 
+@query("recorded_binary", "SELECT event_id, value, event_type FROM events")
+def recorded_binary(s, d):
+    """Through Spark's own file reader, as on storage that Python can't open."""
+    return read_binary(s, recorded(events(s, d)), channels=["event_id", "value", "event_type"]).drop("_file", "_record")
+
+
+@query("signal_of_recording", f"SELECT {T} AS t, value FROM events")
+def signal_of_recording(s, d):
+    """A channel beside the master of its group: the same records, so no join."""
+    df = mdf4.read(s, recorded(events(s, d), master="t"), channels=["t", "value"])
+    return df.select("t", "value")
+
+
+@query("recorded_bits", "SELECT o_orderkey, (o_orderkey >> 3) & 31 AS u, xor((o_orderkey >> 2) & 15, 8) - 8 AS v FROM orders")
+def recorded_bits(s, d):
+    """Fields of bits, big-endian bytes and signs, from records made by hand."""
+    path = scratch(s)
+    os.makedirs(path)
+
+    def pack(frames):
+        for f in frames:
+            keys = f["o_orderkey"].to_numpy("<i8")
+            rows = np.concatenate([keys.view(np.uint8).reshape(-1, 8), keys.astype(">i8").view(np.uint8).reshape(-1, 8)], axis=1)
+            channels = [Channel("o_orderkey", data_type=3, byte_offset=8, bits=64), Channel("u", data_type=0, bit_offset=3, bits=5), Channel("v", data_type=2, bit_offset=2, bits=4)]
+            name = f"{path}/{uuid.uuid4().hex}.mf4"
+            with open(name, "wb") as out:
+                w = FileWriter(out)
+                w.begin(Group("bits", None, 0, 16, 0, 0, 0, {}, None, channels))
+                w.append(rows)
+                w.finish()
+                w.close()
+            yield pd.DataFrame({"name": [name], "n": [len(keys)]})
+
+    t(s, d, "orders").select("o_orderkey").mapInPandas(pack, "name string, n bigint").collect()  # a row a file
+    return mdf4.read(s, path).select("o_orderkey", "u", "v")
+
+
 def two_groups(s, d) -> str:
     """One recording with the nations and the regions as groups."""
     path = scratch(s)
