@@ -102,7 +102,8 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str
     """Exact base phrases and fuzzy notices of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``spans``: label:first-last word:closeness of each fuzzy match. Null and empty
-    texts have no words, empty labels and score 0; a row for each row.
+    texts have no words, empty labels and score 0; a row for each row, repeated
+    ones and null ids too. Of equally near matches at one place the first counts.
     """
 
     def make():
@@ -117,4 +118,5 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
     return license_scan(table(spark, sf_dir, "documents"))

@@ -80,4 +80,5 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without later copies of three lines in a row."""
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")

@@ -293,6 +293,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFram
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -120,8 +120,9 @@ def quality_cnn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LA
 
     The network is fitted on whole texts of labelled rows whose crc32(doc_id) mod 3
     is not 1: at most ``most_labelled``, in the order of a hash of the id. Null and
-    empty texts score as one empty chunk. Null ids are never learned from and not
-    held out.
+    empty texts score as one empty chunk, very long ones chunk by chunk in bounded
+    memory. Repeated rows each get their score. Null ids are never learned from and
+    not held out; an empty table of labels leaves the network as it began.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     some = labels.where(F.col("quality").isNotNull() & (fold != 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -155,4 +156,5 @@ def quality_cnn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LA
 
 
 def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, learned from the labels outside the held-out third."""
     return quality_cnn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -189,4 +189,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -107,7 +107,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """UTF-8 bytes and tokens of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``path``: a byte-level BPE .json present on every executor. Null and empty
-    texts have 0 bytes and tokens. Repeated rows and null ids each get their row.
+    texts have 0 bytes and tokens; a piece of any length is merged whole. Of equal
+    ranks the leftmost pair goes first. Repeated rows and null ids each get their row.
     """
 
     def make():
@@ -124,6 +125,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -355,4 +355,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, learned from the labels outside the held-out fifth."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
