@@ -97,6 +97,16 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _beside(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """``rows`` with the least neighbour (m) of their node a.
+
+    The key is cast, so both sides have exchanges of their own and Spark can split
+    a node with very many edges over tasks.
+    """
+    low = low.select(F.col("a").cast("decimal(20,0)").alias("_a"), "m")
+    return rows.join(low, F.col("a").cast("decimal(20,0)") == F.col("_a")).drop("_a")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, root), root the smallest node.
 
@@ -110,9 +120,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = _beside(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
+        pairs = _beside(large, low)
         small = pairs.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = cut(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
