@@ -37,7 +37,7 @@ def template(word: str) -> tuple[str, str, bool]:
 class Templates:
     """Template hashes of texts; remembers a bounded number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.index = most, {}
         self.arrays = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, bool), np.zeros(1024, np.int8)
 
@@ -183,10 +183,6 @@ class Filter:
         self.table = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
         self.mask = np.uint64(len(self.table) - 1)
 
-    @staticmethod
-    def probes(w: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        return w & mask, (w >> np.uint64(32)) & mask
-
     def __call__(self, w: np.ndarray) -> np.ndarray:
         keep = self.table[w & self.mask]
         at = np.flatnonzero(keep)

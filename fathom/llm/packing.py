@@ -18,7 +18,7 @@ from fathom.llm.common import cut, map_rows, row_key, table
 
 SHARD = 1000
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 3, 3, 6
-CACHE = 600_000
+CACHE = 400_000
 
 
 class Ids:

@@ -39,8 +39,8 @@ class CharModel:
         key = context + c
         if (v := self.memo.get(key)) is None:
             get = self.n.get
-            key_ = "".join(x if x in self.n or x == "\n" else OTHER for x in key)
-            context, c = key_[:-1], key_[-1]
+            classes = "".join(OTHER if x.isalpha() and x not in self.n else x for x in key)
+            context, c = classes[:-1], classes[-1]
             p = (get(c, 0) + 0.5) / (self.total + self.letters)
             for order in (1, 2):
                 ctx = context[-order:]
