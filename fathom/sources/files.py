@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from fathom.errors import WrongBlock
 from fathom.sources.blocks import Group, Recording, recording
 from fathom.sources.decode import EPS, payloads, physical, raw_numbers
 from fathom.sources.index import relative, to_ns
@@ -29,6 +30,9 @@ def _parts(reader, g: Group) -> Iterator[tuple[np.ndarray, dict[int, list[bytes]
     """Records without their ids, and the payloads that belong to them."""
     for rows in routed(reader, g) if g.mixed else batches(reader, g, whole_spans(g)):
         more = {i: payloads(c, rows, g.id_bytes, reader) for i, c in enumerate(g.channels) if c.variable}
+        for i, values in more.items():
+            if None in values:
+                raise WrongBlock(f"{g.channels[i].name}: a record's payload lies beyond its data")
         yield np.array(rows[:, g.id_bytes :]), more
 
 

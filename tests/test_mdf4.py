@@ -430,3 +430,14 @@ def test_stream(spark, tmp_path):
     assert run() == 3
     write_groups(str(folder / "b.mf4"), [("g", table(4, at=3), OPTIONS)])
     assert run() == 7
+
+
+def test_a_missing_payload(spark, tmp_path):
+    def build(p):
+        sd = p.put(b"##SD", (), struct.pack("<I", 2) + b"ok")
+        return p.channel(0, "Msg", 7, 0, 64, kind=1, data=sd)
+
+    path = saved(tmp_path, one_group(build, struct.pack("<QQ", 0, 99), 2, 8))
+    assert [r.Msg for r in mdf4.read(spark, path).orderBy("_record").collect()] == ["ok", None]
+    with pytest.raises(E.WrongBlock):
+        cut_file(path, path + ".cut", 0, 1)
