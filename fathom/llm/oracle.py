@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fathom.llm.decontaminate import LEAST_SHARE, LEAST_WORDS, LITERALS, UNITS, WINDOW
 from fathom.llm.quality_rules import CLASSES, LANGUAGES, TOP_WORDS
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -55,3 +56,36 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd THEN greates
 kept AS (SELECT l.doc_id, string_agg(CASE WHEN gone.p IS NULL THEN line END, chr(10) ORDER BY l.i) AS text, count(*) AS n_lines, count(gone.p) AS n_removed FROM l LEFT JOIN f USING (doc_id, i) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.p = f.p GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+_EDGE = """' .,;:!?"''()[]{}*#$%&|<>`~_-'"""
+_UNITS = ", ".join(f"'{u}'" for u in sorted(UNITS))
+
+
+def _templates(name: str, key: str, source: str) -> str:
+    """Words of a table: place, bare lower-case form, template, and the other template of a title-case word that begins a sentence."""
+    return rf"""
+{name}_all AS (SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p, len(ws) AS own FROM {source}),
+{name}_bare AS (SELECT *, trim(w, {_EDGE}) AS bare, lower(trim(w, {_EDGE})) AS low, p = 0 OR coalesce(lag(regexp_matches(w, '[.!?:]["'')\]}}]*$')) OVER (PARTITION BY {key} ORDER BY p), FALSE) AS begins FROM {name}_all),
+{name}_kind AS (SELECT *, CASE WHEN regexp_matches(low, '^[+-]?[$€£]?[0-9][0-9.,:/]*(%|[a-z]{{0,3}})$') THEN '<num>' WHEN low IN ({_UNITS}) THEN '<unit>' END AS slot,
+  length(bare) > 1 AND bare[1] <> lower(bare[1]) AND substr(bare, 2) = substr(low, 2) AS title FROM {name}_bare),
+{name} AS (SELECT {key}, p, own, low, coalesce(slot, CASE WHEN title AND NOT begins THEN '<name>' ELSE low END) AS one, CASE WHEN slot IS NULL AND title AND begins THEN '<name>' END AS two FROM {name}_kind)"""
+
+
+LEAKS = rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+{_templates("d", "doc_id", "texts").strip()},
+{_templates("b", "item_id", "items").strip()},
+df AS (SELECT doc_id, p, unnest([one, two]) AS form FROM d),
+bf AS (SELECT item_id, p, own, unnest([one, two]) AS form FROM b),
+met AS (SELECT doc_id, item_id, df.p - bf.p AS shift, bf.p AS p, any_value(own) AS own, max(CASE WHEN form[1] = '<' THEN 0 ELSE 1 END) AS literal FROM df JOIN bf USING (form) WHERE form IS NOT NULL GROUP BY ALL),
+win AS (SELECT *, least({WINDOW}, own) AS n, count(*) OVER o AS held, sum(literal) OVER o AS literals FROM met WINDOW o AS (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+hit AS (SELECT DISTINCT doc_id, item_id, shift, own, unnest(range(p, p + n)) AS p FROM win WHERE held = n AND p + n <= own AND literals >= least({LITERALS}, n)),
+pair AS (SELECT h.*, b.low AS x, d.low AS y, b.two IS NOT NULL AS maybe, b.one[1] = '<' OR b.two IS NOT NULL AS mark FROM hit h JOIN b ON b.item_id = h.item_id AND b.p = h.p JOIN d ON d.doc_id = h.doc_id AND d.p = h.p + h.shift),
+slot AS (SELECT *, min(CASE WHEN NOT (maybe AND x = y) THEN p END) OVER (PARTITION BY doc_id, item_id, shift, x) AS since FROM pair WHERE mark),
+value AS (SELECT *, first_value(y) OVER (PARTITION BY doc_id, item_id, shift, x ORDER BY p) AS y0 FROM slot WHERE p >= since),
+odd AS (SELECT doc_id, item_id, shift, count(*) AS total, count(*) FILTER (y <> y0) AS odd FROM value GROUP BY ALL),
+line AS (SELECT h.* FROM hit h LEFT JOIN odd o USING (doc_id, item_id, shift) WHERE 5 * coalesce(odd, 0) <= coalesce(total, 0)),
+leak AS (SELECT doc_id, item_id, any_value(own) AS own, count(DISTINCT p) AS n, min(p + shift) AS first_word FROM line GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_covered, n / own AS share, first_word FROM leak WHERE n >= least({LEAST_WORDS}, own) OR n >= {LEAST_SHARE} * own
+"""
