@@ -25,12 +25,12 @@ def template(word: str) -> tuple[str, str, bool]:
     """A word's template at the start of a sentence and within one, and whether it ends one."""
     bare = word.strip(_EDGE)
     low = bare.lower()
-    ends = word.rstrip("\"')]}")[-1:] in (".", "!", "?", ":")
-    if _NUMBER.match(low):
+    ends = not word[-1:].isalnum() and word.rstrip("\"')]}")[-1:] in (".", "!", "?", ":")
+    if not low[:1].isalpha() and _NUMBER.match(low):
         return "<num>", "<num>", ends
     if low in UNITS:
         return "<unit>", "<unit>", ends
-    title = len(bare) > 1 and bare[0].isupper() and bare[1:] == low[1:]
+    title = low != bare and len(bare) > 1 and bare[0].isupper() and bare[1:] == low[1:]
     return low, "<name>" if title else low, ends
 
 
@@ -39,24 +39,28 @@ class Templates:
 
     def __init__(self, most: int = 200_000):
         self.most, self.index = most, {}
-        self.arrays = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, bool), np.zeros(1024, np.int8)
-
-    def _add(self, word: bytes) -> int:
-        a, b, e = template(word.decode("utf-8", "surrogatepass"))
-        h = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in (a, b)]
-        i = self.index[word] = len(self.index)
-        if i >= len(self.arrays[0]):
-            self.arrays = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.arrays)
-        for x, v in zip(self.arrays, (*h, e, (a[:1] == "<") + 2 * (b[:1] == "<"))):
-            x[i] = v
-        return i
+        self.arrays = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int8)
+
+    def _add(self, words: list[bytes]) -> None:
+        start, within, ends, slots = [], [], [], []
+        for word in words:
+            a, b, end = template(word.decode("utf-8", "surrogatepass"))
+            h = xxhash.xxh64_intdigest(a.encode("utf-8", "surrogatepass"), 7)
+            start.append(h)
+            within.append(h if b is a else xxhash.xxh64_intdigest(b, 7))
+            ends.append(end)
+            slots.append((a[:1] == "<") + 2 * (b[:1] == "<"))
+        n = len(self.index)
+        self.index.update(zip(words, range(n, n + len(words))))
+        self.arrays = tuple(np.concatenate([x, np.array(v, x.dtype)]) for x, v in zip(self.arrays, (start, within, ends, slots)))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Where the arrays hold each word."""
         if len(self.index) > self.most:
             self.__init__(self.most)
-        get, add = self.index.get, self._add
-        return np.fromiter((i if (i := get(w)) is not None else add(w) for w in words), np.int64, len(words))
+        if new := set(words).difference(self.index):
+            self._add(list(new))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def hashes(self, at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each word's template, whether that is a placeholder, and what makes a title-case word at the start of a sentence a name (else 0).
