@@ -5,15 +5,23 @@ and partial reads of one recording, ``cut_*`` and ``merge_files`` for whole
 recordings, ``Layout`` for their blocks. All errors are ``fathom.MdfError``.
 """
 
-from fathom.errors import MdfError
-from fathom.sources.binary import read_binary
-from fathom.sources.files import cut_file, cut_file_utc, cut_files, merge_files
-from fathom.sources.index import Index, Signal, catalog, data_blocks, find_channel, list_groups, masters
-from fathom.sources.layout import Layout
-from fathom.sources.mdf4 import Mdf4, read, write
-from fathom.sources.writer import write_groups
+from importlib import import_module
 
-__all__ = [
-    "Index", "Layout", "Mdf4", "MdfError", "Signal", "catalog", "cut_file", "cut_file_utc", "cut_files", "data_blocks", "find_channel", "list_groups", "masters", "merge_files",
-    "read", "read_binary", "write", "write_groups",
-]
+_PLACES = {
+    "errors": ["MdfError"],
+    "sources.binary": ["read_binary"],
+    "sources.files": ["cut_file", "cut_file_utc", "cut_files", "merge_files"],
+    "sources.index": ["Index", "Signal", "catalog", "data_blocks", "find_channel", "list_groups", "masters"],
+    "sources.layout": ["Layout"],
+    "sources.mdf4": ["Mdf4", "read", "write"],
+    "sources.writer": ["write_groups"],
+}
+__all__ = sorted(name for names in _PLACES.values() for name in names)
+
+
+def __getattr__(name: str):
+    """Names are loaded when they are first used, so that executors load only what they need."""
+    for place, names in _PLACES.items():
+        if name in names:
+            return getattr(import_module(f"fathom.{place}"), name)
+    raise AttributeError(name)

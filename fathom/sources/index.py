@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.errors import BeyondEnd, MdfError, NoSource, NoStartTime, NotFound
-from fathom.sources.blocks import Channel, Conversion, Group, Recording, Walk, from_plain, recording, to_plain
+from fathom.sources.blocks import Channel, Conversion, Group, Recording, from_plain, recording, to_plain
 from fathom.sources.decode import column, floats
 from fathom.sources.mdf4 import batches, files, read, routed, whole_spans
 from fathom.sources.ranges import open_ranges
@@ -277,4 +277,4 @@ def relative(tree: Recording, ns: int) -> float:
     return (ns - tree.start_ns) / 1e9
 
 
-__all__ = ["Index", "Signal", "Walk", "catalog", "data_blocks", "find_channel", "list_groups", "masters"]
+__all__ = ["Index", "Signal", "catalog", "data_blocks", "find_channel", "list_groups", "masters"]

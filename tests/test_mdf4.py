@@ -441,3 +441,11 @@ def test_a_missing_payload(spark, tmp_path):
     assert [r.Msg for r in mdf4.read(spark, path).orderBy("_record").collect()] == ["ok", None]
     with pytest.raises(E.WrongBlock):
         cut_file(path, path + ".cut", 0, 1)
+
+
+def test_names_of_the_package():
+    import fathom
+
+    assert all(getattr(fathom, name) for name in fathom.__all__) and fathom.Index is Index
+    with pytest.raises(AttributeError):
+        fathom.nothing
