@@ -89,3 +89,58 @@ line AS (SELECT h.* FROM hit h LEFT JOIN odd o USING (doc_id, item_id, shift) WH
 leak AS (SELECT doc_id, item_id, any_value(own) AS own, count(DISTINCT p) AS n, min(p + shift) AS first_word FROM line GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_covered, n / own AS share, first_word FROM leak WHERE n >= least({LEAST_WORDS}, own) OR n >= {LEAST_SHARE} * own
 """
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_M = "18446744073709551615::UHUGEINT"
+_SEED = 42
+
+
+def _times(x: str, p: str) -> str:
+    return f"((({x}) * {p}) & {_M})"
+
+
+def _turned(x: str, bits: int) -> str:
+    """Rotation to the left: multiplication by a power of two modulo 2 ** 64 - 1."""
+    return f"((({x}) << {bits}) % {_M})"
+
+
+def _mixed(held: str, lane: str) -> str:
+    return _times(_turned(f"({held} + {_times(lane, _P2)}) & {_M}", 31), _P1)
+
+
+def _lanes(first: str, size: int, step: int, stop: str) -> str:
+    """Little-endian numbers of ``size`` bytes, ``step`` bytes apart."""
+    return f"list_transform(range({first}, {stop}, {step}), lambda i: ('0x' || reverse(substr(x, 2 * i + 1, {2 * size})))::UHUGEINT)"
+
+
+_START = [(_SEED + 11400714785074694791 + 14029467366897019727) % 2**64, (_SEED + 14029467366897019727) % 2**64, _SEED, (_SEED - 11400714785074694791) % 2**64]
+_STRIPES = ", ".join(f"list_reduce({_lanes(str(8 * k), 8, 32, 'n - n % 32')}, lambda a, b: {_mixed('a', 'b')}, {s}::UHUGEINT) AS v{k}" for k, s in enumerate(_START))
+_FOLDED = f"({' + '.join(_turned(f'v{k}', r) for k, r in enumerate((1, 7, 12, 18)))}) & {_M}"
+for _k in range(4):
+    _FOLDED = f"({_times(f'xor({_FOLDED}, {_mixed("0::UHUGEINT", f"v{_k}")})', _P1)} + {_P4}) & {_M}"
+_EIGHTS = f"list_reduce({_lanes('n - n % 32', 8, 8, 'n - n % 8')}, lambda a, b: ({_times(_turned(f'xor(a, {_mixed("0::UHUGEINT", "b")})', 27), _P1)} + {_P4}) & {_M}, h)"
+_FOURS = f"list_reduce({_lanes('n - n % 8', 4, 4, 'n - n % 4')}, lambda a, b: ({_times(_turned(f'xor(a, {_times("b", _P1)})', 23), _P2)} + {_P3}) & {_M}, h)"
+_BYTES = f"list_reduce({_lanes('n - n % 4', 1, 1, 'n')}, lambda a, b: {_times(_turned(f'xor(a, {_times("b", _P5)})', 11), _P1)}, h)"
+
+SIMHASH = rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingle AS (SELECT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM texts WHERE len(ws) > 0)),
+own AS (SELECT DISTINCT s FROM shingle),
+raw AS (SELECT s, regexp_replace(hex(encode(s)), '(.)(.)', '\2\1', 'g') AS x, octet_length(encode(s)) AS n FROM own),
+stripes AS (SELECT s, x, n, {_STRIPES} FROM raw),
+begun AS (SELECT s, x, n, ((CASE WHEN n >= 32 THEN {_FOLDED} ELSE ({_SEED}::UHUGEINT + {_P5}) & {_M} END) + n::UHUGEINT) & {_M} AS h FROM stripes),
+eights AS (SELECT s, x, n, {_EIGHTS} AS h FROM begun),
+fours AS (SELECT s, x, n, {_FOURS} AS h FROM eights),
+bytes AS (SELECT s, {_BYTES} AS h FROM fours),
+one AS (SELECT s, {_times('xor(h, h >> 33)', _P2)} AS h FROM bytes),
+two AS (SELECT s, {_times('xor(h, h >> 29)', _P3)} AS h FROM one),
+hashed AS (SELECT s, (xor(h, h >> 32) & {_M})::UBIGINT AS h FROM two),
+bits AS (SELECT doc_id, count(*) AS n, {", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64))} FROM shingle JOIN hashed USING (s) GROUP BY 1),
+prints AS (SELECT doc_id, coalesce(f, 0::UBIGINT) AS f FROM documents LEFT JOIN (SELECT doc_id, ({" + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))})::UBIGINT AS f FROM bits) USING (doc_id)),
+different AS (SELECT DISTINCT f FROM prints),
+links AS (SELECT a.f AS a, b.f AS b FROM different a, different b WHERE bit_count(xor(a.f, b.f)) <= 3),
+reach AS (SELECT f AS a, f AS b FROM different UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a AS f, min(doc_id) AS component_id FROM reach JOIN prints ON prints.f = reach.b GROUP BY 1)
+SELECT doc_id, lower(lpad(hex(f), 16, '0')) AS fingerprint, component_id FROM prints JOIN least USING (f)
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_divergence": oracle.QUALITY, "op4_line_dedup": oracle.LINES, "op6_decontaminate": oracle.LEAKS}
+ORACLE_SQL: dict[str, str] = {"op1_quality_divergence": oracle.QUALITY, "op4_line_dedup": oracle.LINES, "op6_decontaminate": oracle.LEAKS, "op7_simhash": oracle.SIMHASH}
