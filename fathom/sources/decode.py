@@ -42,14 +42,18 @@ def raw_numbers(c: Channel, rows: np.ndarray, id_bytes: int) -> np.ndarray | Non
         return None
     if c.data_type in (4, 5) and c.bits not in (32, 64):
         return None
-    part = np.zeros((len(rows), 8), np.uint8)
     field = rows[:, at : at + size]
+    if not c.bit_offset and c.bits in (8, 16, 32, 64):  # whole numbers of the machine
+        order, letter = ">" if c.data_type in (1, 3, 5) else "<", "f" if c.data_type in (4, 5) else "i" if c.data_type in (2, 3) else "u"
+        wide = {"f": np.float64, "i": np.int64, "u": np.uint64}[letter]
+        return np.ascontiguousarray(field).view(f"{order}{letter}{size}").reshape(-1).astype(wide)
+    part = np.zeros((len(rows), 8), np.uint8)
     part[:, :size] = field[:, ::-1] if c.data_type in (1, 3, 5) else field
     v = part.view("<u8").reshape(-1) >> np.uint64(c.bit_offset)
     if c.bits < 64:
         v &= np.uint64((1 << c.bits) - 1)
     if c.data_type in (4, 5):
-        return v.astype("<u4").view("<f4").astype(np.float64) if c.bits == 32 else v.view("<f8")
+        return v.astype("<u4").view("<f4").astype(np.float64)  # of 64 bits only whole ones fit
     if c.data_type in (2, 3):
         shift = np.int64(64 - c.bits)
         return v.view(np.int64) << shift >> shift
@@ -106,7 +110,8 @@ def invalid(c: Channel, rows: np.ndarray, g: Group) -> np.ndarray | None:
     at = g.id_bytes + g.data_bytes + (c.invalid_bit >> 3)
     if not c.flags & 2 or at >= rows.shape[1]:
         return None
-    return (rows[:, at] >> (c.invalid_bit & 7) & 1).astype(bool)
+    bits = rows[:, at] & np.uint8(1 << (c.invalid_bit & 7))
+    return bits.astype(bool) if bits.any() else None
 
 
 def result_kind(c: Channel, conversion: Conversion | None) -> str:

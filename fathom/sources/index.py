@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fathom.errors import BeyondEnd, MdfError, NoSource, NoStartTime, NotFound
 from fathom.sources.blocks import Channel, Conversion, Group, Recording, from_plain, recording, to_plain
 from fathom.sources.decode import column, floats
-from fathom.sources.mdf4 import batches, files, read, routed, whole_spans
+from fathom.sources.mdf4 import batches, files, names, read, routed, whole_spans
 from fathom.sources.ranges import open_ranges
 
 CATALOG = (
@@ -154,6 +154,13 @@ class Index:
                 reader.close()
         return np.concatenate(parts) if parts else np.zeros(0)
 
+    def table(self, group: str | int = 0, channels: list[str] | None = None, raw: bool = False) -> pa.Table:
+        """A group, or some of its channels, in this process: columns named as those of the data source."""
+        i = group if isinstance(group, int) else self.group(group)
+        g = self.groups[i]
+        wanted = [(n, c) for n, c in zip(names(g), g.channels) if channels is None or n in channels]
+        return pa.table(dict(zip([n for n, _ in wanted], self._arrays(i, [c for _, c in wanted], raw))))
+
     def signal(self, name: str, group: str | int | None = None) -> Signal:
         i, j = self.find(name, group)
         c, master = self.groups[i].channels[j], self.groups[i].master()

@@ -116,7 +116,8 @@ class FileWriter:
     def _block(self, name: bytes, links, body: bytes) -> int:
         self._raw(b"\0" * (-self.at % 8))
         at = self.at
-        self._raw(struct.pack("<4s4xQQ", name, 24 + 8 * len(links) + len(body), len(links)) + struct.pack(f"<{len(links)}Q", *links) + body)
+        self._raw(struct.pack("<4s4xQQ", name, 24 + 8 * len(links) + len(body), len(links)) + struct.pack(f"<{len(links)}Q", *links))
+        self._raw(body)
         return at
 
     def _patch(self, at: int, value: int) -> None:
@@ -164,11 +165,14 @@ class FileWriter:
             self.slots[i] = after + 24 + 40
         self.cg = self._block(b"##CG", [0, after, self._text(g.name), self._source(g.source), 0, self._text(g.comment)], struct.pack("<QQHH4xII", 0, 0, 0, 0, g.data_bytes, g.invalid_bytes))
 
-    def _flush(self, s: _Stream, length: int) -> None:
-        s.blocks.append(self._block(s.kind, (), bytes(s.held[:length])))
+    def _fragment(self, s: _Stream, body) -> None:
+        s.blocks.append(self._block(s.kind, (), body))
         s.offsets.append(s.length)
-        s.length += length
-        del s.held[:length]
+        s.length += len(body)
+
+    def _flush(self, s: _Stream) -> None:
+        self._fragment(s, s.held)
+        s.held = bytearray()
 
     def append(self, rows: np.ndarray, payloads: dict[int, list[bytes]] | None = None) -> None:
         """Records (n, size) without record ids; the slots of variable-length channels are set here."""
@@ -177,20 +181,27 @@ class FileWriter:
             for k, raw in enumerate(values):
                 raw = raw or b""
                 if s.held and len(s.held) + 4 + len(raw) > self.split:
-                    self._flush(s, len(s.held))
+                    self._flush(s)
                 slots[k] = s.length + len(s.held)
                 s.held += struct.pack("<I", len(raw)) + raw
             width = c.width
             rows[:, c.byte_offset : c.byte_offset + width] = slots.view(np.uint8).reshape(-1, 8)[:, :width]
         self.count += len(rows)
-        self.data.held += rows.tobytes()
+        s, at, raw = self.data, 0, memoryview(np.ascontiguousarray(rows).reshape(-1))
         whole = max(1, self.split // max(1, self.group.record_size)) * self.group.record_size
-        while whole and len(self.data.held) > whole:
-            self._flush(self.data, whole)
+        while whole and len(s.held) + len(raw) - at > whole:
+            to = at + whole - len(s.held)
+            if s.held:
+                s.held += raw[at:to]
+                self._flush(s)
+            else:
+                self._fragment(s, raw[at:to])
+            at = to
+        s.held += raw[at:]
 
     def _chain(self, s: _Stream) -> int:
         if s.held or not s.blocks:
-            self._flush(s, len(s.held))
+            self._flush(s)
         if len(s.blocks) == 1:
             return s.blocks[0]
         return self._block(b"##DL", [0, *s.blocks], struct.pack("<B3xI", 0, len(s.blocks)) + struct.pack(f"<{len(s.offsets)}Q", *s.offsets))
