@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, cut, map_rows, ship, table
+from fathom.llm.common import components, cut, map_rows, ship, signed, table
 
 WORDS, HASHES, SIMILAR = 5, 2, 0.8
 SHORTEST = 50
@@ -121,8 +121,9 @@ def signatures(h: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def link(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first entry of each key, and links from every other one to it and to the one before it, smallest ids first."""
+    """Links from every entry of a key to the key's first and to the one before it, smallest ids first; and the entries of keys of over three texts, where these are not all pairs."""
     rows = rows[np.lexsort((rows["p"], rows["id"], rows["key"]))]
+    rows = rows[np.r_[True, (rows["p"][1:] != rows["p"][:-1]) | (rows["id"][1:] != rows["id"][:-1]) | (rows["key"][1:] != rows["key"][:-1])]]  # copies came by several tasks
     new = np.r_[True, rows["key"][1:] != rows["key"][:-1]]
     first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
     rest = np.flatnonzero(~new)
@@ -131,7 +132,10 @@ def link(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out["rep"] = np.concatenate([first["id"][rest], rows["id"][rest - 1]])
     out["lo"] = out["hi"] = np.tile(rows["p"][rest], 2)
     out["n"] = 1
-    return rows[new], merged(out[out["id"] != out["rep"]])
+    start = np.flatnonzero(new)
+    texts = np.add.reduceat(np.r_[True, rows["id"][1:] != rows["id"][:-1]] | new, start, dtype=np.int64)
+    many = np.repeat(texts > 3, np.diff(np.r_[start, len(rows)]))
+    return merged(out[out["id"] != out["rep"]]), rows[many]
 
 
 def merged(links: np.ndarray) -> np.ndarray:
@@ -147,12 +151,11 @@ def merged(links: np.ndarray) -> np.ndarray:
 
 
 def text_links(texts: DataFrame, least: int) -> DataFrame:
-    """(id, rep, lo, hi, n): texts that share signatures, the first and last place of ``id`` where they do, and how often.
+    """(key, id, rep, lo, hi, n): of texts that share signatures the first and last place of ``id`` where they do, and how often (key is null).
 
-    A task links what it holds of a key itself and sends on one entry of it, so a
-    passage that stands in very many texts costs one entry for each million; what
-    is sent goes by key, in packed rows. Links lead to smaller ids, a key's first
-    and the one before, so the texts of a key stay joined without all pairs.
+    Entries go by key, in packed rows. Links lead to a key's first text and the one
+    before. The entries of a key of over three texts follow, with their key and
+    place (lo), for ``untried``.
     """
     width, spark = run_length(least), texts.sparkSession
     ship(spark)
@@ -163,16 +166,14 @@ def text_links(texts: DataFrame, least: int) -> DataFrame:
         shingles, held, size, seen = Shingles(), [], 0, set()
 
         def flush(held):
-            entries, links = link(np.concatenate(held))
+            entries = np.concatenate(held)
+            entries = entries[np.argsort(entries["key"] >> shift, kind="stable")]
             group = (entries["key"] >> shift).astype(np.int64)
             start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             stop = np.r_[start[1:], len(group)]
             for at in range(0, len(start), 4096):
                 some = list(zip(start[at : at + 4096].tolist(), stop[at : at + 4096].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(group[start[at : at + 4096]], pa.int64()), pa.array([entries[a:b].tobytes() for a, b in some], pa.binary()), pa.array([b""] * len(some), pa.binary())], ["bucket", "entries", "links"])
-            for at in range(0, len(links), 20_000):
-                part = links[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([int(part["id"][0]) % (1 << bits)], pa.int64()), pa.array([b""], pa.binary()), pa.array([part.tobytes()], pa.binary())], ["bucket", "entries", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[start[at : at + 4096]], pa.int64()), pa.array([entries[a:b].tobytes() for a, b in some], pa.binary())], ["bucket", "entries"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -203,30 +204,183 @@ def text_links(texts: DataFrame, least: int) -> DataFrame:
             yield from flush(held)
 
     def met(batches):
-        now, held, size = None, [], 0
+        now, held = None, []
 
-        def out(links):
-            return pa.RecordBatch.from_arrays([pa.array(links["id"]), pa.array(links["rep"]), pa.array(links["lo"].astype(np.int64)), pa.array(links["hi"].astype(np.int64)), pa.array(links["n"].astype(np.int64))], ["id", "rep", "lo", "hi", "n"])
+        def solve():
+            links, many = link(np.concatenate(held))
+            for at in range(0, len(links), 100_000):
+                part = links[at : at + 100_000]
+                yield put(pa.nulls(len(part), pa.int64()), part["id"], part["rep"], part["lo"], part["hi"], part["n"])
+            for at in range(0, len(many), 100_000):
+                part = many[at : at + 100_000]
+                yield put(pa.array(part["key"].copy().view(np.int64)), part["id"], part["id"], part["p"], part["p"], np.ones(len(part)))
+
+        def put(key, *columns):
+            return pa.RecordBatch.from_arrays([key, *(pa.array(c.astype(np.int64)) for c in columns)], ["key", "id", "rep", "lo", "hi", "n"])
 
         for batch in batches:
-            for bucket, entries, links in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if links:
-                    yield out(np.frombuffer(links, _LINK))
-                    continue
-                if bucket != now or size >= 4 * FLUSH:  # of a bucket beyond the bound, each key's first entry goes on
+            for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now:
                     if held:
-                        firsts, links = link(np.concatenate(held))
-                        yield out(links)
-                    held, size = ([firsts], len(firsts)) if bucket == now else ([], 0)
-                    now = bucket
+                        yield from solve()
+                    now, held = bucket, []
                 held.append(np.frombuffer(entries, _ENTRY))
-                size += len(held[-1])
         if held:
-            yield out(link(np.concatenate(held))[1])
+            yield from solve()
+
+    parts = texts.select("id", "text").mapInArrow(packed, "bucket bigint, entries binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "key bigint, id bigint, rep bigint, lo bigint, hi bigint, n bigint")
+
+
+def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], least: int):
+    """Pairs (i, j), j < i, of entries of one key, by ascending id: as many verified ones as join all labels that any two verified ones join.
+
+    Equal contexts are joined at once. Two others must share SIMILAR * ``least``
+    places that span ``least``; so a shingle that only one label has is of no use,
+    nor is an entry that keeps too few, and a pair must share one of the shingles
+    outside the most frequent ones that alone would be too few.
+    """
+    need = int(np.ceil(SIMILAR * least))
+    up: dict[int, int] = {}
+
+    def root(v):
+        while (u := up.get(v, v)) != v:
+            up[v] = up.get(u, u)
+            v = up[v]
+        return v
+
+    first: dict[bytes, int] = {}
+    own = []
+    for k, c in enumerate(contexts):
+        j = first.setdefault(c.tobytes(), k)
+        if ids[j] == ids[k]:
+            own.append(k)
+        elif (x := root(labels[k])) != (y := root(labels[j])):
+            up[x] = y
+            yield k, j
+    size = [len(contexts[k]) for k in own]
+    member, place = np.repeat(np.arange(len(own)), size), np.concatenate([np.arange(n) for n in size])
+    value = np.unique(np.concatenate([contexts[k] for k in own]), return_inverse=True)[1]
+    before = -1
+    while len(value) != before and len(value):
+        before = len(value)
+        label = np.unique([root(labels[k]) for k in own], return_inverse=True)[1]
+        both = np.unique(value * np.int64(len(own)) + label[member]) // len(own)  # (value, label)
+        keep = np.bincount(both, minlength=int(value.max()) + 1)[value] > 1
+        member, place, value = member[keep], place[keep], value[keep]
+        if not len(value):
+            return
+        lo, hi = np.full(len(own), 1 << 40), np.full(len(own), -1)
+        np.minimum.at(lo, member, place)
+        np.maximum.at(hi, member, place)
+        keep = ((np.bincount(member, minlength=len(own)) >= need) & (hi - lo + 1 >= least))[member]
+        member, place, value = member[keep], place[keep], value[keep]
+    if not len(value):
+        return
+    held = np.unique(value * np.int64(len(own)) + member)
+    of, holders = held // len(own), held % len(own)
+    edge = np.searchsorted(of, np.arange(int(value.max()) + 2))
+    often = np.diff(edge)
+    runs: dict[int, Runs] = {}
+    start = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
+    span = {int(member[a]): (int(a), int(b)) for a, b in zip(start, [*start[1:], len(member)])}
+    for i, (a, b) in span.items():
+        v, p = value[a:b], place[a:b]
+        order = np.lexsort((v, -often[v]))
+        low, high = np.minimum.accumulate(p[order]), np.maximum.accumulate(p[order])
+        few = int(((np.arange(1, b - a + 1) < need) | (high - low + 1 < least)).sum())
+        near = [holders[edge[x] : edge[x + 1]] for x in np.unique(v[order[few:]]).tolist()]
+        k = own[i]
+        for j in np.unique(np.concatenate(near)).tolist() if near else ():
+            if j >= i:
+                break
+            o = own[j]
+            if ids[k] == ids[o] or (x := root(labels[k])) == (y := root(labels[o])):
+                continue
+            c, d = span[j]
+            shared = p[np.isin(v, value[c:d])]
+            if len(shared) < need or int(shared.max()) - int(shared.min()) + 1 < least:
+                continue
+            for m in (k, o):
+                if m not in runs:
+                    runs[m] = Runs(contexts[m])
+            if passages(runs[k], runs[o], least):
+                up[x] = y
+                yield k, o
+
+
+def untried(entries: DataFrame, found: DataFrame, roots: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(id, rep, lo, hi, n): more pairs of texts that share a signature, where ``found`` neither joins them nor covers the place.
+
+    An entry is labelled with the class of its text, or if its place is in no
+    passage with a label of its own. Entries of a key with several labels are
+    compared by the shingles around them (``crossing``).
+    """
+    width = run_length(least)
+    ways = found.select("id", "start_word", "end_word").union(found.select("rep", "rep_start_word", "rep_end_word"))
+    ways = ways.distinct().groupBy("id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends"))
+    by_id = entries.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list("lo").alias("places"))
+    by_id = by_id.join(ways, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+
+    def label():
+        def step(cols):
+            out = [[], [], [], []]
+            for i, keys, places, starts, ends, root in zip(*(cols[k] for k in ("id", "keys", "places", "starts", "ends", "root"))):
+                p = np.array(places, np.int64)
+                covered = np.zeros(len(p), bool)
+                for a, b in zip(starts or (), ends or ()):
+                    covered |= (a <= p) & (p + width + WORDS - 1 <= b)
+                for key, at, c in zip(keys, places, covered.tolist()):
+                    out[0].append(key)
+                    out[1].append(i)
+                    out[2].append(at)
+                    out[3].append(root if c else signed(xxhash.xxh64_intdigest(f"{i} {at}", 3)))
+            return out
+
+        return step
+
+    labelled = cut(map_rows(by_id, "key bigint, id bigint, p bigint, label bigint", label))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("id").alias("c"), F.max("id").alias("d")).where("a != b and c != d").select("key")
+    left = labelled.join(open_keys, "key", "left_semi").groupBy("id").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "p", "label")))
+
+    def context():
+        shingles = Shingles()
+
+        def step(cols):
+            out = [[], [], [], [], []]
+            for i, text, keys, places, labels in zip(*(cols[k] for k in ("id", "text", "keys", "ps", "labels"))):
+                h = shingles.of(text)
+                for key, at, name in zip(keys, places, labels):
+                    for c, x in zip(out, (key, i, at, name, h[max(0, at - least) : at + 2 * width + least].tobytes())):
+                        c.append(x)
+            return out
+
+        return step
+
+    contexts = map_rows(left.join(texts.select("id", "text"), "id"), "key bigint, id bigint, p bigint, label bigint, context binary", context)
+
+    def met(batches):
+        now, held = None, []
+
+        def solve():
+            ids, places, labels, raw = (list(x) for x in zip(*held))
+            pairs = [(ids[i], ids[j], places[i]) for i, j in crossing(ids, labels, [np.frombuffer(x, np.uint64) for x in raw], least)] if len(held) > 1 else []
+            if pairs:
+                i, j, p = (pa.array(x, pa.int64()) for x in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([i, j, p], ["id", "rep", "p"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if key != now:
+                    if held:
+                        yield from solve()
+                    now, held = key, []
+                held.append(row)
+        if held:
+            yield from solve()
 
-    parts = texts.select("id", "text").mapInArrow(packed, "bucket bigint, entries binary, links binary")
-    links = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "id bigint, rep bigint, lo bigint, hi bigint, n bigint")
-    return links.groupBy("id", "rep").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    pairs = contexts.repartition("key").sortWithinPartitions("key", "id", "p").mapInArrow(met, "id bigint, rep bigint, p bigint")
+    return pairs.groupBy("id", "rep").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"))
 
 
 class Runs:
@@ -385,7 +539,8 @@ def substring_dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     least = shortest - WORDS + 1
     margin = 3 * least
     long = docs.select("doc_id", "text").where(F.length("text") >= 2 * shortest - 1).withColumn("id", F.xxhash64("text"))
-    pairs = cut(text_links(long, least))
+    links = cut(text_links(long, least))
+    pairs = cut(links.where("key is null").groupBy("id", "rep").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")))
     texts = long.groupBy("id").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc_id"))
 
     def segment():
@@ -400,9 +555,6 @@ def substring_dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
         return step
 
-    parts = map_rows(pairs.join(texts, "id"), "id bigint, rep bigint, doc_id bigint, part binary, start bigint", segment)
-    both = parts.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("rep_text"), F.col("doc_id").alias("rep_doc_id")), "rep")
-
     def make():
         shingles = Shingles()
 
@@ -416,7 +568,25 @@ def substring_dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
         return step
 
     schema = "id bigint, rep bigint, doc_id bigint, start_word bigint, end_word bigint, rep_doc_id bigint, rep_start_word bigint, rep_end_word bigint, similarity double"
-    found = cut(map_rows(both, schema, make))
+
+    def verified(pairs):
+        parts = map_rows(pairs.join(texts, "id"), "id bigint, rep bigint, doc_id bigint, part binary, start bigint", segment)
+        both = parts.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("rep_text"), F.col("doc_id").alias("rep_doc_id")), "rep")
+        return cut(map_rows(both, schema, make))
+
+    found = verified(pairs)
+    roots = cut(components(found.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    entries = links.where("key is not null").select("key", "id", "lo")
+    if not entries.isEmpty():
+        more = cut(untried(entries, found, roots, texts, least).join(pairs.select("id", "rep"), ["id", "rep"], "left_anti"))
+        if not more.isEmpty():
+            more = verified(more)
+            found = found.union(more)
+            named = more.select(F.col("id").alias("node"), "rep").join(roots, "node", "left").select("rep", F.coalesce("root", "node").alias("a"))
+            named = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("a", F.coalesce("root", "rep").alias("b"))
+            joined = components(named).select(F.col("node").alias("root"), F.col("root").alias("up"))
+            all_nodes = roots.union(joined.select("root", "root")).distinct()
+            roots = all_nodes.join(joined, "root", "left").select("node", F.coalesce("up", "root").alias("root")).distinct()
     words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint")  # counted before the exchange, which then carries no text
     copies = long.select("id", "doc_id", words.alias("words")).groupBy("id").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("words").alias("words"))
     copies = copies.where((F.col("n") > 1) & (F.col("words") >= shortest)).select(F.col("id").cast("decimal(20,0)").alias("copied"), "least", "words")
@@ -425,7 +595,6 @@ def substring_dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     same = same.select("id", F.col("id").alias("rep"), "doc_id", zero.alias("start_word"), F.col("words").alias("end_word"), F.col("least").alias("rep_doc_id"), zero.alias("rep_start_word"), F.col("words").alias("rep_end_word"), F.lit(1.0).alias("similarity"))
     rows = found.unionByName(same)
-    roots = components(found.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     named = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = named.groupBy("root").agg(F.least(F.min("doc_id"), F.min("rep_doc_id")).alias("class_id"))
     return named.join(names, "root").drop("id", "rep", "root")

@@ -256,6 +256,54 @@ def test_shortest_is_taken(spark):
     assert {x.class_id for x in got} == {0} and all(30 <= x.end_word - x.start_word <= 30 for x in got)
 
 
+def test_links_between_texts_of_common_runs(spark):
+    """Every run of the passage stands in many texts, so each signature's first and previous text are others."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    passage = r.choices(words, k=70)
+    fill = lambda: r.choices(words, k=60)
+    rows, whole = [], (40, 80, 120)
+    for i in range(160):
+        a = 0 if i % 5 < 2 else r.randint(0, 30)
+        own = passage if i in whole else passage[a : a + 40]
+        rows.append((i, " ".join([*fill(), *own, *fill()])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substring_dedup.substring_dedup(df.repartition(3)).collect()
+    cls = {d: x.class_id for x in got for d in (x.doc_id, x.rep_doc_id)}
+    assert {cls.get(d) for d in whole} == {40}
+    text = dict(rows)
+    grams = {d: {tuple(w[i : i + 50]) for w in [text[d].split()] for i in range(len(w) - 49)} for d in text}
+    for a, b in ((a, b) for a in text for b in text if a < b):
+        assert not grams[a] & grams[b] or cls.get(a) == cls.get(b) is not None, (a, b)
+
+
+def test_pairs_of_a_key_equal_brute_force():
+    """Contexts of one run of 30 shingles: beyond it, some go on alike (nearly), in no order of ids."""
+    r = np.random.default_rng(3)
+    make = lambda n: r.integers(0, 1 << 60, n).astype(np.uint64)
+    run, tails = make(30), [make(51) for _ in range(4)]
+    contexts = []
+    for i in range(120):
+        tail = tails[i % 9].copy() if i % 9 < 4 else make(51)
+        if i % 2:
+            tail[20:25] = make(5)
+        if i % 3 == 0:
+            tail[10:] = make(41)
+        contexts.append(np.concatenate([make(51), run, tail]))
+    parts = [substring_dedup.Runs(c) for c in contexts]
+
+    def classes(pairs):
+        up = list(range(120))
+        for i, j in pairs:
+            x, y = up[i], up[j]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    want = [(i, j) for i in range(120) for j in range(i) if substring_dedup.passages(parts[i], parts[j], 46)]
+    got = list(substring_dedup.crossing(list(range(120)), list(range(120)), contexts, 46))
+    assert set(got) <= set(want) and len(got) < len(want) and classes(got) == classes(want) and len(set(classes(want))) < 100
+
+
 def test_compact_windows():
     r = np.random.default_rng(4)
     v, t = r.integers(0, 1 << 60, 500).astype(np.uint64), 20
