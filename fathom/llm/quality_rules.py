@@ -69,14 +69,13 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, len(SYMBOLS.findall(text)), dup, repeated
 
 
-def language_references(docs: DataFrame, lang_col: str = "lang", most: int = LANGUAGES) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
+def language_references(docs: DataFrame, lang_col: str = "lang", most: int | None = None) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """Per language: character-class counts, its TOP_WORDS most frequent words and their counts with the rest last.
 
     Counted over all of ``docs`` in one pass with partial counts per batch; only
-    the classes and the leading words of each language reach the driver. The
-    ``most`` languages with the most words form a reference (ties: the first by
-    name), so a dirty column makes neither this nor a text's comparison larger;
-    null languages form none.
+    the classes and the leading words of each language reach the driver. Every
+    language forms a reference, or with ``most`` those with the most words (ties:
+    the first by name); null languages form none.
     """
 
     def make():
@@ -98,8 +97,9 @@ def language_references(docs: DataFrame, lang_col: str = "lang", most: int = LAN
     parts = map_rows(docs.select("text", F.col(lang_col).alias("lang")), "lang string, word binary, slot int, n bigint", make)
     total = cut(parts.groupBy("lang", "slot", "word").agg(F.sum("n").alias("n")))
 
-    known = [r["lang"] for r in total.where("slot = -2").orderBy(F.desc("n"), "lang").limit(most).collect()]
-    total = total.where(F.col("lang").isin(known)) if known else total.limit(0)
+    if most is not None:
+        known = [r["lang"] for r in total.where("slot = -2").orderBy(F.desc("n"), "lang").limit(most).collect()]
+        total = total.where(F.col("lang").isin(known)) if known else total.limit(0)
 
     def leaders(frames):  # each task's own top k of each language, so the window below sorts a few rows a task
         best = None
@@ -185,7 +185,7 @@ def quality_rules(docs: DataFrame, references: dict, *, max_char: float = 0.22,
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules over all documents; distances to six digits."""
+    """The rules over all documents, against as many languages as its SQL takes; distances to six digits."""
     docs = table(spark, sf_dir, "documents")
-    rows = quality_rules(docs, language_references(docs))
+    rows = quality_rules(docs, language_references(docs, most=LANGUAGES))
     return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})

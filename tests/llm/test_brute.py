@@ -413,6 +413,16 @@ def test_languages_are_bounded(spark):
     assert sorted(refs) == ["l5", "l6", "l7", "l8"]
 
 
+def test_every_language_counts(spark):
+    r = random.Random(4)
+    vocabulary = {k: [f"w{k}x{i}" for i in range(12)] for k in range(80)}
+    rows = [(k, " ".join(r.choices(vocabulary[k], k=60 + 3 * (k < 70))), f"l{k}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    df = df.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("bigint"))
+    want = {k for k, t, _ in rows if not quality_rules.Judge({}, 0.22, 0.36, 200, 50)(t)[5]}
+    assert len(want) > 70 and {x.doc_id for x in corpus_pipeline.quality(spark, df, "").collect()} == want
+
+
 # the pipeline, stage by stage
 
 
