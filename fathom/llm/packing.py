@@ -28,6 +28,8 @@ class Ids:
     a text's ids are those of its words; it also parts Latin letters from the ASCII
     marks after them. The library encodes what is new, all such parts of a batch in
     one call: each is one pre-token, and only its last id is that of a word end.
+    These parts come in lower case, composed, and in the letters that stand for
+    bytes, so for them the library leaves its normalizer and patterns out.
     """
 
     _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
@@ -35,10 +37,14 @@ class Ids:
     _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {b"": b""}
+        self.parted = Tokenizer.from_file(path)
+        self.parted.normalizer, self.parted.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}  # beyond ASCII the parts have no others
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -71,8 +77,8 @@ class Ids:
         cores = b"\n".join(cores).decode().lower().encode().split(b"\n")
         new = [x for x in {*cores, *marks} if x not in parts]
         if new:
-            some = [b" ".join(new[k : k + 100]).decode() for k in range(0, len(new), 100)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+            some = [b" ".join(new[k : k + 100]).decode().translate(self.letters) for k in range(0, len(new), 100)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.parted.encode_batch_fast(some, add_special_tokens=False)])
             raw, at = ids.tobytes(), 0
             for part, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
                 parts[part], at = raw[at:end], end

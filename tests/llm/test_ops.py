@@ -54,6 +54,15 @@ def test_packing(docs):
         assert at <= 4096
 
 
+def test_packing_ids_of_parts():
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0xC0, 0x100)]
+    words = [*letters, *(a + b for a, b in zip(letters, letters[7:])), *(c + "Wort" + c + "!?|" for c in letters), *(chr(c) * 2 for c in range(33, 127)), "<|endoftext|>", "it's", "e\u0301t\u00e9,"]
+    got = packing.Ids(path).encode([" ".join(words), *words])
+    assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in (" ".join(words), *words)]
+
+
 def test_simhash(docs):
     got = simhash.simhash_components(docs).collect()
     f = [(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got]
