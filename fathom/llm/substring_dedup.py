@@ -238,7 +238,8 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
     Equal contexts are joined at once. Two others must share SIMILAR * ``least``
     places that span ``least``; so a shingle that only one label has is of no use,
     nor is an entry that keeps too few, and a pair must share one of the shingles
-    outside the most frequent ones that alone would be too few.
+    outside the most frequent ones that alone would be too few. What ``hopeful``
+    leaves of these is verified, two contexts that failed not again.
     """
     need = int(np.ceil(SIMILAR * least))
     up: dict[int, int] = {}
@@ -250,22 +251,31 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
         return v
 
     first: dict[bytes, int] = {}
-    own = []
+    own, equal = [], []
     for k, c in enumerate(contexts):
         j = first.setdefault(c.tobytes(), k)
         if ids[j] == ids[k]:
             own.append(k)
+            equal.append(j)
         elif (x := root(labels[k])) != (y := root(labels[j])):
             up[x] = y
             yield k, j
     size = [len(contexts[k]) for k in own]
     member, place = np.repeat(np.arange(len(own)), size), np.concatenate([np.arange(n) for n in size])
     value = np.unique(np.concatenate([contexts[k] for k in own]), return_inverse=True)[1]
+    plain = np.bincount(np.unique(member * np.int64(len(value)) + value) // max(len(value), 1), minlength=len(own)) == size  # no shingle twice
+    joined, label = -1, np.zeros(0, np.int64)
+
+    def classes():
+        nonlocal joined, label
+        if joined != len(up):  # a join adds one
+            joined, label = len(up), np.unique([root(labels[k]) for k in own], return_inverse=True)[1]
+        return label
+
     before = -1
     while len(value) != before and len(value):
         before = len(value)
-        label = np.unique([root(labels[k]) for k in own], return_inverse=True)[1]
-        both = np.unique(value * np.int64(len(own)) + label[member]) // len(own)  # (value, label)
+        both = np.unique(value * np.int64(len(own)) + classes()[member]) // len(own)  # (value, label)
         keep = np.bincount(both, minlength=int(value.max()) + 1)[value] > 1
         member, place, value = member[keep], place[keep], value[keep]
         if not len(value):
@@ -277,36 +287,98 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
         member, place, value = member[keep], place[keep], value[keep]
     if not len(value):
         return
-    held = np.unique(value * np.int64(len(own)) + member)
-    of, holders = held // len(own), held % len(own)
-    edge = np.searchsorted(of, np.arange(int(value.max()) + 2))
-    often = np.diff(edge)
+    value = np.unique(value, return_inverse=True)[1]
+    text = np.unique([ids[k] for k in own], return_inverse=True)[1]
+    edge = np.searchsorted(member, np.arange(len(own) + 1))
     runs: dict[int, Runs] = {}
-    start = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
-    span = {int(member[a]): (int(a), int(b)) for a, b in zip(start, [*start[1:], len(member)])}
-    for i, (a, b) in span.items():
-        v, p = value[a:b], place[a:b]
-        order = np.lexsort((v, -often[v]))
-        low, high = np.minimum.accumulate(p[order]), np.maximum.accumulate(p[order])
-        few = int(((np.arange(1, b - a + 1) < need) | (high - low + 1 < least)).sum())
-        near = [holders[edge[x] : edge[x + 1]] for x in np.unique(v[order[few:]]).tolist()]
-        k = own[i]
-        for j in np.unique(np.concatenate(near)).tolist() if near else ():
-            if j >= i:
-                break
-            o = own[j]
-            if ids[k] == ids[o] or (x := root(labels[k])) == (y := root(labels[o])):
-                continue
-            c, d = span[j]
-            shared = p[np.isin(v, value[c:d])]
+    failed: set[tuple[int, int]] = set()
+    for i, j, sure in hopeful(member, place, value, plain, classes, text, least):
+        k, o = own[i], own[j]
+        if (x := root(labels[k])) == (y := root(labels[o])) or (pair := (equal[i], equal[j])) in failed:
+            continue
+        if not sure:
+            a, b = slice(edge[i], edge[i + 1]), slice(edge[j], edge[j + 1])
+            shared = place[a][np.isin(value[a], value[b])]
             if len(shared) < need or int(shared.max()) - int(shared.min()) + 1 < least:
                 continue
-            for m in (k, o):
-                if m not in runs:
-                    runs[m] = Runs(contexts[m])
-            if passages(runs[k], runs[o], least):
-                up[x] = y
-                yield k, o
+        for m in pair:
+            if m not in runs:
+                runs[m] = Runs(contexts[m])
+        if passages(runs[pair[0]], runs[pair[1]], least):
+            up[x] = y
+            yield k, o
+        else:
+            failed.add(pair)
+
+
+def hopeful(member: np.ndarray, place: np.ndarray, value: np.ndarray, plain: np.ndarray, classes, text: np.ndarray, least: int):
+    """(i, j, sure), j < i: all pairs of members of two labels and texts in which ``passages`` can find something, ascending.
+
+    ``member`` ascends, then ``place``; of values, those that can be shared. ``text``
+    is that of each member, ``classes()`` gives their labels as joined so far. Where
+    both are ``plain`` (no shingle stands twice, shared or not) and the shared ones
+    stand in one order, a pair is sure: two shared places of i at ``least`` - 1 apart
+    or more hold k shared ones of n and m, and k >= SIMILAR * (n + m - k).
+    """
+    need, n, most = int(np.ceil(SIMILAR * least)), len(text), int(value.max()) + 1
+    edge, wide = np.searchsorted(member, np.arange(n + 1)), int(place.max()) + 1
+    held = np.unique(value * np.int64(n) + member)
+    holders, held = held % n, held // n
+    begin = np.searchsorted(held, np.arange(most + 1))
+    often = np.diff(begin)
+    # the places of each member, those of the most frequent values first, until they are as many and as wide as a passage
+    order = np.lexsort((value, -often[value], member))
+    rank = np.arange(len(order)) - edge[member]
+    low, high = np.full((n, wide), wide, np.int32), np.full((n, wide), -1, np.int32)
+    low[member, rank] = high[member, rank] = place[order]
+    low, high = np.minimum.accumulate(low, 1), np.maximum.accumulate(high, 1)
+    rare = order[(rank >= need - 1) & (high - low + 1 >= least)[member, rank]]
+    rare = rare[np.unique(member[rare] * np.int64(most) + value[rare], return_index=True)[1]]  # a value of a member once
+    upto = np.r_[0, np.cumsum(often[value[rare]])]
+    of = np.searchsorted(member[rare], np.arange(n + 1))
+    narrow = place.astype(np.int32)
+    there = np.bincount(member[rare], minlength=n) > 0, np.diff(edge) > 0
+    at = 0
+    while at < n:  # members by bounded numbers of pairs
+        to = min(at + max(1, 4 * MATCHES // max(most, n)), n)
+        label = classes()
+        if 8 * (upto[of[to]] - upto[of[at]]) < (to - at) * n:
+            some = rare[of[at] : of[to]]
+            times = often[value[some]]
+            i = np.repeat(member[some], times)
+            j = holders[np.arange(len(i)) + np.repeat(begin[value[some]] - np.cumsum(times) + times, times)]
+            keep = (j < i) & (label[i] != label[j]) & (text[i] != text[j])
+            pairs = np.unique(i[keep] * np.int64(n) + j[keep])
+        else:  # such values are so frequent that all pairs are fewer
+            pairs = np.flatnonzero((label[at:to, None] != label) & (text[at:to, None] != text) & np.tri(to - at, n, at - 1, bool)) + at * n
+            pairs = pairs[there[0][pairs // n] & there[1][pairs % n]]
+        where = np.full((to - at) * most, -1, np.int32)
+        part = slice(edge[at], edge[to])
+        where[(member[part] - at) * most + value[part]] = place[part]
+        step = max(1, MATCHES // wide // 4)
+        while len(pairs):
+            i, j = pairs[:step] // n, pairs[:step] % n
+            times = edge[j + 1] - edge[j]
+            k = np.arange(int(times.sum())) + np.repeat(edge[j] - np.cumsum(times) + times, times)
+            p = where[np.repeat((i - at) * most, times) + value[k]]
+            hit = np.flatnonzero(p >= 0)
+            seg, p, q = np.repeat(np.arange(len(i)), times)[hit], p[hit], narrow[k[hit]]
+            count = np.bincount(seg, minlength=len(i))
+            back = np.r_[False, (seg[1:] == seg[:-1]) & (p[1:] <= p[:-1])]
+            sure = plain[i] & plain[j] & (np.bincount(seg, back, len(i)) == 0)
+            nth = (np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)).astype(np.float32)
+            score = np.float32(1 + SIMILAR) * nth - np.float32(SIMILAR) * (p + q).astype(np.float32)  # all are multiples of 0.2, so 0.1 is for rounding
+            lowest = np.full((len(i), wide), np.inf, np.float32)
+            spot = seg * wide + p
+            lowest.ravel()[spot] = score
+            lowest = np.minimum.accumulate(lowest, 1).ravel()
+            good = (p >= least - 1) & (score + np.float32(1 - SIMILAR + 0.1) >= lowest[np.maximum(spot - least + 1, 0)])
+            fine = ~sure | (np.bincount(seg, good, len(i)) > 0)
+            yield from zip(i[fine].tolist(), j[fine].tolist(), sure[fine].tolist())
+            pairs, old, label = pairs[step:], label, classes()
+            if label is not old:
+                pairs = pairs[label[pairs // n] != label[pairs % n]]
+        at = to
 
 
 def untried(entries: DataFrame, found: DataFrame, roots: DataFrame, texts: DataFrame, least: int) -> DataFrame:

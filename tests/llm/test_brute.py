@@ -304,6 +304,40 @@ def test_pairs_of_a_key_equal_brute_force():
     assert set(got) <= set(want) and len(got) < len(want) and classes(got) == classes(want) and len(set(classes(want))) < 100
 
 
+def test_pairs_that_share_much_but_no_passage_are_not_verified(monkeypatch):
+    """Contexts of one long stretch with edits of their own: most pairs share 37 shingles or more, few a passage; some hold one shingle many times."""
+    r = np.random.default_rng(6)
+    make = lambda n: r.integers(0, 1 << 60, n).astype(np.uint64)
+    base, contexts = make(132), []
+    for i in range(90):
+        c = base.copy()
+        for at in range(0, 56, 14):
+            c[at + r.integers(0, 4) :][:7] = make(7)
+        for at in range(76, 132, 14):
+            c[at + r.integers(0, 4) :][:7] = make(7)
+        if i % 15 == 0:  # a passage around one unlike shingle, 30 times over
+            c[40:66], c[66:96], c[96:122] = base[40:66], make(1), base[66:92]
+        elif i % 15 == 1:  # two places changed round
+            c[:30], c[30:60] = base[30:60], base[:30]
+        elif i % 15 == 2:
+            c[60:120] = base[60:120]
+        contexts.append(c)
+    parts = [substring_dedup.Runs(c) for c in contexts]
+    want = [(i, j) for i in range(90) for j in range(i) if substring_dedup.passages(parts[i], parts[j], 46)]
+    near = sum(len(np.intersect1d(contexts[i], contexts[j])) >= 37 for i in range(90) for j in range(i))
+    up = list(range(90))
+    joined = []
+    for i, j in want:
+        if up[i] != up[j]:
+            up = [up[j] if u == up[i] else u for u in up]
+            joined.append((i, j))
+    calls, real = [], substring_dedup.passages
+    monkeypatch.setattr(substring_dedup, "passages", lambda *x: calls.append(1) or real(*x))
+    got = list(substring_dedup.crossing(list(range(90)), list(range(90)), contexts, 46))
+    assert got == joined and {(15, 0), (17, 2)} <= set(got)
+    assert near > 2500 and len(calls) < 1200
+
+
 def test_compact_windows():
     r = np.random.default_rng(4)
     v, t = r.integers(0, 1 << 60, 500).astype(np.uint64), 20
