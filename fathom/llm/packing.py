@@ -77,7 +77,9 @@ class Ids:
         cores = b"\n".join(cores).decode().lower().encode().split(b"\n")
         new = [x for x in {*cores, *marks} if x not in parts]
         if new:
-            some = [b" ".join(new[k : k + 100]).decode().translate(self.letters) for k in range(0, len(new), 100)]
+            new.sort(key=bytes.isascii)  # so that few calls hold other letters, which are slow to replace
+            some = [b" ".join(new[k : k + 100]).decode() for k in range(0, len(new), 100)]
+            some = [x if x.isascii() else x.translate(self.letters) for x in some]
             ids = np.concatenate([np.array(e.ids, "<u4") for e in self.parted.encode_batch_fast(some, add_special_tokens=False)])
             raw, at = ids.tobytes(), 0
             for part, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):

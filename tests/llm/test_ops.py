@@ -231,3 +231,22 @@ def test_long_common_words(spark):
     text = "достопримечательность " * 5 + prose(40, 20)
     refs = quality_rules.language_references(spark.createDataFrame([(1, text, "ru")], "doc_id bigint, text string, lang string"))
     assert refs["ru"][1][0].decode() == "достопримечательность" and refs["ru"][2][0] == 5
+
+
+def test_packing_replaces_letters_only_where_there_are_others():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, c):
+            Counted.asked += 1
+            return dict.__getitem__(self, c)
+
+    path = P.path("word_bpe_49k.json")
+    ids = packing.Ids(path)
+    ids.letters = Counted(ids.letters)
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), 9)) for _ in range(4000)] + [f"gr{c}n{d}" for c in "äöüß" for d in "éèàôñ"]
+    r.shuffle(words)
+    raw = ids.encode([" ".join(words)])[0]
+    assert np.frombuffer(raw, "<u4").tolist() == Tokenizer.from_file(path).encode(" ".join(words), add_special_tokens=False).ids
+    assert 0 < Counted.asked < 2000
