@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import cached_property
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +18,42 @@ WORDS, HASHES, SIMILAR = 5, 2, 0.8
 SHORTEST = 50
 NARROW, MATCHES = 6, 1 << 20
 FLUSH = 1 << 20
-_UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_BYTE = np.array([0 if c in b" \t\n\r\v\f" else xxhash.xxh64_intdigest(bytes([c]).lower(), 1) for c in range(256)], np.uint64)
+_PLACE = np.zeros(0, np.uint64)
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("p", "<i4")])
 _LINK = np.dtype([("id", "<i8"), ("rep", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("n", "<i4")])
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return h
+def words_of(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words, A-Z as a-z: sums of a number for each byte, zero for white space, times one for its place."""
+    global _PLACE
+    x = np.frombuffer(raw, np.uint8)
+    there = np.zeros(len(x) + 1, bool)
+    np.not_equal(_BYTE[x], 0, out=there[1:])
+    start = np.flatnonzero(there[1:] > there[:-1])
+    out = np.zeros(len(start), np.uint64)
+    for at in range(0, len(start), 1 << 16):  # a bounded number of words at a time
+        some = start[at : at + (1 << 16)]
+        some, part = some - some[0], x[some[0] : start[at + (1 << 16)] if at + (1 << 16) < len(start) else len(x)]
+        size = np.full(len(some), len(part))
+        np.subtract(some[1:], some[:-1], out=size[:-1])
+        size[-1] -= some[-1]
+        place = np.arange(len(part)) - np.repeat(some, size)
+        if (longest_word := int(place.max()) + 1) > len(_PLACE):
+            _PLACE = mixed(np.arange(1, 2 * longest_word + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+        out[at : at + len(some)] = np.add.reduceat(_BYTE[part] * _PLACE[place], some)
+    return mixed(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * _MIX
+    return x ^ x >> np.uint64(32)
 
 
 class Shingles:
-    """64-bit hashes of a text's five-word shingles; remembers a bounded number of words, from task to task of a worker."""
-
-    known = WordHashes()
+    """64-bit hashes of a text's five-word shingles; remembers those of a bounded number of texts."""
 
     def __init__(self, most: int = 400_000):
         self.most = most
@@ -51,11 +72,7 @@ class Shingles:
 
     def of(self, text: str | bytes | None) -> np.ndarray:
         raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
-        words = raw.translate(_UPPER).split()
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = words_of(raw)
         n = len(h) - WORDS + 1
         out = np.zeros(max(n, 0), np.uint64)
         for j in range(WORDS if n > 0 else 0):
@@ -232,14 +249,57 @@ def text_links(texts: DataFrame, least: int) -> DataFrame:
     return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "key bigint, id bigint, rep bigint, lo bigint, hi bigint, n bigint")
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order; sorting is many times faster than the library's hashing."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def alike(contexts: list[np.ndarray], repeats: np.ndarray, least: int) -> np.ndarray:
+    """(i, j): whether context i may hold a passage of j; False only where it ``repeats`` shingles and none of its windows of SIMILAR * ``least`` has that share of its different shingles in j.
+
+    A window that has the shingles of a longer one, or of a shorter one of the same
+    start, needs no trial. Where still too many are left, all is possible.
+    """
+    need, size = int(np.ceil(SIMILAR * least)), np.array([len(c) for c in contexts])
+    edge = np.append(0, np.cumsum(size))
+    value = np.unique(np.concatenate(contexts), return_inverse=True)[1]
+    held = distinct(value * np.int64(len(contexts)) + np.repeat(np.arange(len(contexts)), size))
+    holders, begin = held % len(contexts), np.searchsorted(held // len(contexts), np.arange(len(value) + 1))
+    out = np.ones((len(contexts), len(contexts)), bool)
+    for i in np.flatnonzero(repeats):
+        c, n = value[edge[i] : edge[i + 1]], size[i]
+        if n < need:
+            out[i] = False
+            continue
+        order = np.argsort(c, kind="stable")
+        same = c[order[1:]] == c[order[:-1]]
+        before, after = np.full(n, -1), np.full(n + 1, n)  # the place of the same shingle, after[s] that of place s - 1
+        before[order[1:][same]], after[order[:-1][same] + 1] = order[:-1][same], order[1:][same]
+        after[0] = n
+        at, to = np.arange(n - need + 1)[:, None], np.arange(n)
+        new = (before < at) & (to >= at)
+        s, e = np.nonzero((to >= at + need - 1) & (new | (to == at + need - 1)) & (after[: n - need + 1, None] > to))
+        if len(s) > 8 * n:
+            continue
+        windows = (new[s] & (to <= e[:, None])).astype(np.float32)
+        times = begin[c + 1] - begin[c]
+        there = np.zeros((n, len(contexts)), np.float32)
+        there[np.repeat(to, times), holders[np.arange(int(times.sum())) + np.repeat(begin[c] - np.cumsum(times) + times, times)]] = 1
+        out[i] = (windows @ there >= np.float32(SIMILAR) * windows.sum(1)[:, None] - np.float32(0.1)).any(0)  # shares are multiples of 0.2, so 0.1 is for rounding
+    return out
+
+
 def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], least: int):
     """Pairs (i, j), j < i, of entries of one key, by ascending id: as many verified ones as join all labels that any two verified ones join.
 
     Equal contexts are joined at once. Two others must share SIMILAR * ``least``
     places that span ``least``; so a shingle that only one label has is of no use,
     nor is an entry that keeps too few, and a pair must share one of the shingles
-    outside the most frequent ones that alone would be too few. What ``hopeful``
-    leaves of these is verified, two contexts that failed not again.
+    outside the most frequent ones that alone would be too few. What ``alike`` and
+    ``hopeful`` leave of these is verified, two contexts that failed not again.
     """
     need = int(np.ceil(SIMILAR * least))
     up: dict[int, int] = {}
@@ -263,7 +323,7 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
     size = [len(contexts[k]) for k in own]
     member, place = np.repeat(np.arange(len(own)), size), np.concatenate([np.arange(n) for n in size])
     value = np.unique(np.concatenate([contexts[k] for k in own]), return_inverse=True)[1]
-    plain = np.bincount(np.unique(member * np.int64(len(value)) + value) // max(len(value), 1), minlength=len(own)) == size  # no shingle twice
+    plain = np.bincount(distinct(member * np.int64(len(value)) + value) // max(len(value), 1), minlength=len(own)) == size  # no shingle twice
     joined, label = -1, np.zeros(0, np.int64)
 
     def classes():
@@ -275,7 +335,7 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
     before = -1
     while len(value) != before and len(value):
         before = len(value)
-        both = np.unique(value * np.int64(len(own)) + classes()[member]) // len(own)  # (value, label)
+        both = distinct(value * np.int64(len(own)) + classes()[member]) // len(own)  # (value, label)
         keep = np.bincount(both, minlength=int(value.max()) + 1)[value] > 1
         member, place, value = member[keep], place[keep], value[keep]
         if not len(value):
@@ -292,7 +352,16 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
     edge = np.searchsorted(member, np.arange(len(own) + 1))
     runs: dict[int, Runs] = {}
     failed: set[tuple[int, int]] = set()
-    for i, j, sure in hopeful(member, place, value, plain, classes, text, least):
+    left = np.flatnonzero(edge[1:] > edge[:-1])
+    some, which = np.unique([equal[i] for i in left], return_inverse=True)
+    may, same = None, np.zeros(len(own), np.int64)
+    if not plain[left].all() and 3 < len(some) <= 1 << 13:
+        same[left] = which
+        repeats = np.zeros(len(some), bool)
+        repeats[which] = ~plain[left]
+        may = alike([contexts[k] for k in some], repeats, least)
+        may &= may.T
+    for i, j, sure in hopeful(member, place, value, plain, classes, text, least, may, same):
         k, o = own[i], own[j]
         if (x := root(labels[k])) == (y := root(labels[o])) or (pair := (equal[i], equal[j])) in failed:
             continue
@@ -311,18 +380,19 @@ def crossing(ids: list[int], labels: list[int], contexts: list[np.ndarray], leas
             failed.add(pair)
 
 
-def hopeful(member: np.ndarray, place: np.ndarray, value: np.ndarray, plain: np.ndarray, classes, text: np.ndarray, least: int):
+def hopeful(member: np.ndarray, place: np.ndarray, value: np.ndarray, plain: np.ndarray, classes, text: np.ndarray, least: int, may: np.ndarray | None, same: np.ndarray):
     """(i, j, sure), j < i: all pairs of members of two labels and texts in which ``passages`` can find something, ascending.
 
     ``member`` ascends, then ``place``; of values, those that can be shared. ``text``
     is that of each member, ``classes()`` gives their labels as joined so far. Where
     both are ``plain`` (no shingle stands twice, shared or not) and the shared ones
     stand in one order, a pair is sure: two shared places of i at ``least`` - 1 apart
-    or more hold k shared ones of n and m, and k >= SIMILAR * (n + m - k).
+    or more hold k shared ones of n and m, and k >= SIMILAR * (n + m - k). ``may``
+    tells it of the contexts that members are the ``same`` as, if it is known.
     """
     need, n, most = int(np.ceil(SIMILAR * least)), len(text), int(value.max()) + 1
     edge, wide = np.searchsorted(member, np.arange(n + 1)), int(place.max()) + 1
-    held = np.unique(value * np.int64(n) + member)
+    held = distinct(value * np.int64(n) + member)
     holders, held = held % n, held // n
     begin = np.searchsorted(held, np.arange(most + 1))
     often = np.diff(begin)
@@ -348,10 +418,12 @@ def hopeful(member: np.ndarray, place: np.ndarray, value: np.ndarray, plain: np.
             i = np.repeat(member[some], times)
             j = holders[np.arange(len(i)) + np.repeat(begin[value[some]] - np.cumsum(times) + times, times)]
             keep = (j < i) & (label[i] != label[j]) & (text[i] != text[j])
-            pairs = np.unique(i[keep] * np.int64(n) + j[keep])
+            pairs = distinct(i[keep] * np.int64(n) + j[keep])
         else:  # such values are so frequent that all pairs are fewer
             pairs = np.flatnonzero((label[at:to, None] != label) & (text[at:to, None] != text) & np.tri(to - at, n, at - 1, bool)) + at * n
             pairs = pairs[there[0][pairs // n] & there[1][pairs % n]]
+        if may is not None:
+            pairs = pairs[may[same[pairs // n], same[pairs % n]]]
         where = np.full((to - at) * most, -1, np.int32)
         part = slice(edge[at], edge[to])
         where[(member[part] - at) * most + value[part]] = place[part]
@@ -459,8 +531,11 @@ class Runs:
     """Shingles of a text, equal ones in a row as one: values, where each begins and ends, and the places by value."""
 
     def __init__(self, shingles: np.ndarray):
-        begin = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]]) if len(shingles) else np.zeros(0, np.int64)
-        self.values, self.begin, self.end = shingles[begin], begin, np.r_[begin[1:], len(shingles)][: len(begin)]
+        new = np.ones(len(shingles), bool)
+        np.not_equal(shingles[1:], shingles[:-1], out=new[1:])
+        self.begin = np.flatnonzero(new)
+        self.values = shingles if len(self.begin) == len(shingles) else shingles[self.begin]
+        self.end = np.append(self.begin[1:], len(shingles))[: len(self.begin)]
 
     @cached_property
     def order(self) -> np.ndarray:
@@ -470,74 +545,125 @@ class Runs:
     def sorted(self) -> np.ndarray:
         return self.values[self.order]
 
+    @cached_property
+    def distinct(self) -> bool:
+        return not (self.sorted[1:] == self.sorted[:-1]).any()
+
 
 def diagonal_runs(one: Runs, other: Runs, least: int) -> np.ndarray:
     """(shift, start, end) of all maximal runs a[start:end] == b[start + shift : end + shift], every place of a value counted; none if fewer than SIMILAR * ``least`` shingles of ``one`` are in ``other``."""
     a, b, order = one.values, other.values, other.order
+    none = np.zeros((0, 3), np.int64)
+    if len(one.values) == 0 or len(other.values) == 0:
+        return none
     lo = np.searchsorted(other.sorted, a)
-    n = np.searchsorted(other.sorted, a, "right") - lo
-    if (one.end - one.begin)[n > 0].sum() < SIMILAR * least:
-        return np.zeros((0, 3), np.int64)
-    opens, closes, total, at = [], [], np.cumsum(n), 0
-    while at < len(a):  # a bounded number of matches at a time
+    there = np.flatnonzero(other.sorted[np.minimum(lo, len(b) - 1)] == a)
+    if (one.end[there] - one.begin[there]).sum() < SIMILAR * least:
+        return none
+    wide, opens, closes, at = len(a) + 1, [], [], 0
+    lo = lo[there]
+    n = np.ones(len(there), np.int64) if other.distinct else np.searchsorted(other.sorted, a[there], "right") - lo
+    total = np.cumsum(n)
+    while at < len(there):  # a bounded number of matches at a time
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MATCHES, "right")))
-        part = n[at:to]
-        i = np.repeat(np.arange(at, to), part)
-        j = order[np.arange(len(i)) + np.repeat(lo[at:to] - np.cumsum(part) + part, part)]
-        first = (i == 0) | (j == 0) | (a[i - 1] != b[j - 1])
-        last = (i == len(a) - 1) | (j == len(b) - 1) | (a[np.minimum(i + 1, len(a) - 1)] != b[np.minimum(j + 1, len(b) - 1)])
-        opens.append(np.column_stack([j[first] - i[first], i[first]]))
-        closes.append(np.column_stack([j[last] - i[last], i[last] + 1]))
+        if other.distinct:
+            i, j = there[at:to], order[lo[at:to]]
+        else:
+            part = n[at:to]
+            i = np.repeat(there[at:to], part)
+            j = order[np.arange(len(i)) + np.repeat(lo[at:to] - np.cumsum(part) + part, part)]
+        spot = np.sort((j - i) * wide + i)  # the places of a diagonal are neighbours
+        new = np.flatnonzero(spot[1:] - spot[:-1] != 1)
+        opens += [spot[:1], spot[new + 1]]
+        closes += [spot[new] + 1, spot[-1:] + 1]
         at = to
-    begin, end = np.vstack(opens), np.vstack(closes)
-    begin, end = begin[np.lexsort((begin[:, 1], begin[:, 0]))], end[np.lexsort((end[:, 1], end[:, 0]))]
-    return np.column_stack([begin, end[:, 1]])
+    begin, end = np.concatenate(opens), np.concatenate(closes)
+    if len(opens) > 2:
+        begin, end = np.sort(begin), np.sort(end)
+        apart = begin[1:] != end[:-1]
+        begin, end = begin[np.append(True, apart)], end[np.append(apart, True)]
+    shift = begin // wide
+    return np.stack([shift, begin - shift * wide, end - shift * wide], 1)
 
 
-def longest(gain: np.ndarray, loss: np.ndarray) -> list[tuple[int, int]]:
+def longest(gain: list[int], loss: list[int]) -> list[tuple[int, int]]:
     """The maximal [i, j] with gain[i] + ... + gain[j] >= loss[i + 1] + ... + loss[j]."""
-    before = np.r_[0, np.cumsum(gain - loss)]
-    ends = np.maximum.accumulate(before[:0:-1])[::-1]  # the best sum up to here or later
-    j = len(gain) - np.searchsorted(ends[::-1], before[:-1] + -loss, "left") - 1
-    # a run that starts at i does not pay loss[i]
-    i = np.arange(len(gain))
-    ok = (j >= i) & (j > np.r_[-1, np.maximum.accumulate(j)[:-1]])
-    return list(zip(i[ok].tolist(), j[ok].tolist()))
+    after, sums = 0, []
+    for g, x in zip(gain, loss):
+        sums.append(after := after + g - x)
+    best = sums[:]  # the best sum up to here or later
+    for k in range(len(best) - 2, -1, -1):
+        best[k] = max(best[k], best[k + 1])
+    out, j = [], -1
+    for i in range(len(gain)):
+        start = sums[i] - gain[i]  # a run that starts at i does not pay loss[i]
+        before = j
+        while j + 1 < len(best) and best[j + 1] >= start:
+            j += 1
+        if j > before:
+            out.append((i, j))
+    return out
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    one, two = np.unique(x), np.unique(y)
-    same = len(np.intersect1d(one, two, assume_unique=True))
+    one, two = set(x.tolist()), set(y.tolist())
+    same = len(one & two)
     return same / (len(one) + len(two) - same)
 
 
-def bands(runs: np.ndarray, held: np.ndarray, width: int, enough: float):
-    """The runs of every two neighbouring bands of diagonals that hold ``enough`` equal shingles."""
-    there, at = np.unique(runs[:, 0] // width, return_inverse=True)
-    total = np.bincount(at, held[runs[:, 2]] - held[runs[:, 1]])
-    order = np.argsort(at, kind="stable")
-    edge = np.r_[0, np.cumsum(np.bincount(at))]
-    near = np.r_[there[1:] == there[:-1] + 1, False]
-    both = total + np.where(near, np.r_[total[1:], 0], 0)
-    after = np.r_[False, near[:-1]]  # without a next band, it was taken with the one before
-    for k in np.flatnonzero((both >= enough) & (near | ~after)):
-        yield runs[order[edge[k] : edge[k + 1 + near[k]]]]
+def bands(runs: np.ndarray, size: np.ndarray, width: int, enough: float):
+    """(begin, end) of the runs, by shift, of every two neighbouring bands of diagonals that hold ``enough`` equal shingles."""
+    band = runs[:, 0] // width
+    start = np.append(0, np.flatnonzero(band[1:] != band[:-1]) + 1)
+    there, total, edge = band[start].tolist(), np.add.reduceat(size, start).tolist(), [*start.tolist(), len(runs)]
+    last, near = len(there) - 1, False
+    for k, x in enumerate(total):
+        after, near = near, k < last and there[k + 1] == there[k] + 1  # without a next band, it was taken with the one before
+        if (near or not after) and x + (total[k + 1] if near else 0) >= enough:
+            yield edge[k], edge[k + 1 + near]
+
+
+def pieces(runs: list[list[int]]) -> list[list[int]]:
+    """(shift, start, end) by place, where each place has the shift of the longest run that holds it."""
+    out = sorted(runs, key=lambda x: x[1])
+    if all(x[2] <= y[1] for x, y in pairwise(out)):
+        return out
+    lo, hi = out[0][1], max(x[2] for x in out)
+    none = 1 << 40
+    shift = np.full(hi - lo, none)
+    for d, s, e in sorted(runs, key=lambda x: (x[2] - x[1], x[0], x[1])):
+        shift[s - lo : e - lo] = d
+    edge = [0, *(np.flatnonzero(shift[1:] != shift[:-1]) + 1).tolist(), hi - lo]
+    return [[d, lo + s, lo + e] for s, e in pairwise(edge) if (d := int(shift[s])) != none]
+
+
+def filled(parts: list[list[int]], size: int, least: int) -> list[tuple[int, int]]:
+    """First and last shared place, numbered over ``parts``, of each stretch of windows that hold SIMILAR * ``least`` of them."""
+    lo = max(0, parts[0][1] - least)
+    total = np.zeros(max(0, min(size, parts[-1][2] + least) - lo) + 1, np.int64)
+    for _, s, e in parts:
+        total[s - lo + 1 : e - lo + 1] = 1
+    np.cumsum(total, out=total)
+    good = np.flatnonzero(total[least:] - total[:-least] >= SIMILAR * least)
+    if not len(good):
+        return []
+    gap = np.flatnonzero(good[1:] - good[:-1] > 1)
+    return list(zip(total[good[np.append(0, gap + 1)]].tolist(), (total[good[np.append(gap, -1)] + least] - 1).tolist()))
 
 
-def needed(spans: np.ndarray) -> list[int]:
+def needed(spans: list[tuple[int, int]]) -> list[int]:
     """The fewest of ``spans`` (begin, end) that cover all that they cover, by place."""
-    order = np.lexsort((-spans[:, 1], spans[:, 0])).tolist()
     out, end, best = [], -1, None
-    for k in order:
-        if best is not None and spans[k, 0] > end:
-            if spans[best, 1] > end:
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][0], -spans[k][1])):
+        if best is not None and spans[k][0] > end:
+            if spans[best][1] > end:
                 out.append(best)
-                end = int(spans[best, 1])
+                end = spans[best][1]
             best = None
-        if spans[k, 0] > end:
+        if spans[k][0] > end:
             out.append(k)
-            end, best = int(spans[k, 1]), None
-        elif spans[k, 1] > end and (best is None or spans[k, 1] > spans[best, 1]):
+            end, best = spans[k][1], None
+        elif spans[k][1] > end and (best is None or spans[k][1] > spans[best][1]):
             best = k
     return out if best is None else [*out, best]
 
@@ -551,49 +677,56 @@ def passages(one: Runs, other: Runs, least: int) -> list[tuple[int, int, int, in
     of a band that hold it, and its stretches of well filled windows, are verified
     by their sets of shingles; one that fails is cut at its widest gap and tried again.
     Of those found, as many are given as cover the places of both texts that all cover.
+    All of this goes by runs: a maximal stretch begins and ends with one, and a gap
+    lies between two.
     """
     runs = diagonal_runs(one, other, least)
     found: dict[tuple[int, int, int, int], float] = {}
-    taken: set[bytes] = set()
+    taken: set[tuple[int, int]] = set()
     tried: set[tuple[int, int, int, int]] = set()
-    a, b, held = one.values, other.values, np.r_[0, one.end]
+    a, b, enough = one.values, other.values, SIMILAR * least
+    size = one.end[runs[:, 2] - 1] - one.begin[runs[:, 1]]
     for width in (NARROW, least) if len(runs) else ():
-        for some in bands(runs, held, width, SIMILAR * least):
-            some = some[np.lexsort((some[:, 1], some[:, 0], some[:, 2] - some[:, 1]))]  # the longest run wins
-            if (name := some.tobytes()) in taken:
+        for name in bands(runs, size, width, enough):
+            if name in taken:
                 continue
             taken.add(name)
-            shift, hit = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-            for d, s, e in some.tolist():
-                shift[s:e], hit[s:e] = d, True
-            i = np.flatnonzero(hit)
-            j = i + shift[i]
-            loss = np.r_[0, 4 * (np.diff(i) - 1) + 4 * np.maximum(np.abs(np.diff(j)) - 1, 0)]
-            todo = longest(np.ones(len(i), np.int64), loss)
-            total = np.r_[0, np.cumsum(hit)]
-            good = np.flatnonzero((total[least:] - total[:-least]) >= SIMILAR * least)
-            for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else []:
-                todo.append((int(total[run[0]]), int(total[run[-1] + least]) - 1))
+            parts = pieces(runs[name[0] : name[1]].tolist())
+            gain = [e - s for _, s, e in parts]
+            loss = [0, *(4 * (s - e) + 4 * max(abs(s + d - e - c + 1) - 1, 0) for (c, _, e), (d, s, _) in pairwise(parts))]
+            first = list(accumulate(gain, initial=0))  # the shared places are numbered from 0
+            todo = [(first[k], first[m + 1] - 1) for k, m in longest(gain, loss)]
+            if len(parts) > 1:
+                todo += filled(parts, len(a), least)
             while todo:
                 s, e = todo.pop()
-                part = j[s : e + 1]
-                x = int(i[s]), int(i[e]) + 1, int(part.min()), int(part.max()) + 1
+                k, m = bisect_right(first, s) - 1, bisect_right(first, e) - 1
+                d, begin, _ = parts[k]
+                begin += s - first[k]
+                end = parts[m][1] + e - first[m] + 1
+                lo, hi = begin + d, end + parts[m][0]
+                if k < m:
+                    lo = min(lo, min(d + s for d, s, _ in parts[k + 1 : m + 1]))
+                    hi = max(hi, max(d + e for d, _, e in parts[k:m]))
+                x = begin, end, lo, hi
                 if x in tried:
                     continue
                 tried.add(x)
-                if min(one.end[x[1] - 1] - one.begin[x[0]], other.end[x[3] - 1] - other.begin[x[2]]) < SIMILAR * least or one.end[x[1] - 1] - one.begin[x[0]] < least:
+                long = one.end.item(end - 1) - one.begin.item(begin)
+                if long < least or min(long, other.end.item(hi - 1) - other.begin.item(lo)) < enough:
                     continue
-                similar = 1.0 if x[1] - x[0] == e + 1 - s == x[3] - x[2] and not loss[s + 1 : e + 1].any() else jaccard(a[x[0] : x[1]], b[x[2] : x[3]])
+                similar = 1.0 if end - begin == e + 1 - s == hi - lo and not any(loss[k + 1 : m + 1]) else jaccard(a[begin:end], b[lo:hi])
                 if similar >= SIMILAR:
                     found[x] = similar
                 else:
-                    m = s + 1 + int(loss[s + 1 : e + 1].argmax())
-                    todo += [(s, m - 1), (m, e)]
+                    cut_at = max(range(k + 1, m + 1), key=loss.__getitem__)
+                    cut_at = first[cut_at] if loss[cut_at] else s + 1
+                    todo += [(s, cut_at - 1), (cut_at, e)]
     if not found:
         return []
-    spans = np.array(sorted(found))
-    keep = sorted({*needed(spans[:, :2]), *needed(spans[:, 2:])})
-    return [(int(one.begin[p]), int(one.end[q - 1]), int(other.begin[r]), int(other.end[t - 1]), found[p, q, r, t]) for p, q, r, t in spans[keep].tolist()]
+    spans = sorted(found)
+    keep = range(1) if len(spans) == 1 else sorted({*needed([x[:2] for x in spans]), *needed([x[2:] for x in spans])})
+    return [(one.begin.item(p), one.end.item(q - 1), other.begin.item(r), other.end.item(t - 1), found[p, q, r, t]) for p, q, r, t in (spans[k] for k in keep)]
 
 
 def substring_dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:

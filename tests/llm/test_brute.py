@@ -338,6 +338,41 @@ def test_pairs_that_share_much_but_no_passage_are_not_verified(monkeypatch):
     assert near > 2500 and len(calls) < 1200
 
 
+def test_pairs_of_repeated_phrases_are_not_verified(monkeypatch):
+    """Contexts of one phrase said over and over, with an edit of its own in every few repeats: none of their windows has enough of its different shingles in another."""
+    r = np.random.default_rng(9)
+    make = lambda n: r.integers(0, 1 << 60, n).astype(np.uint64)
+    phrase, contexts = make(6), []
+    for i in range(60):
+        c = np.tile(phrase, 22)
+        for at in range(r.integers(0, 20), 132, 25):
+            c[at : at + 5] = make(5)[: len(c[at : at + 5])]
+        if i % 20 < 2:  # 60 in a row without an edit
+            c[20:80] = np.tile(phrase, 10)
+        contexts.append(c)
+    parts = [substring_dedup.Runs(c) for c in contexts]
+    up, joined = list(range(60)), []
+    for i, j in ((i, j) for i in range(60) for j in range(i) if substring_dedup.passages(parts[i], parts[j], 46)):
+        if up[i] != up[j]:
+            up = [up[j] if u == up[i] else u for u in up]
+            joined.append((i, j))
+    calls, real = [], substring_dedup.passages
+    monkeypatch.setattr(substring_dedup, "passages", lambda *x: calls.append(1) or real(*x))
+    got = list(substring_dedup.crossing(list(range(60)), list(range(60)), contexts, 46))
+    assert got == joined and len(got) == 5 and len(calls) < 100
+
+
+def test_words_are_told_apart():
+    r, known = random.Random(5), {}
+    for _ in range(500):
+        raw = bytes(r.choice(b"abAB \t\n\r\v\f\x1c\xc3\xa9\0") for _ in range(r.randint(0, 40)))
+        hashes, words = substring_dedup.words_of(raw).tolist(), raw.lower().split()
+        assert len(hashes) == len(words) and all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(set(known.values())) == len(known) > 300
+    many = substring_dedup.words_of(b"x " * 70_000 + b"y" * 70_000 + b" z  ").tolist()
+    assert len(many) == 70_002 and len(set(many)) == 3 and many[69_999] == many[0]
+
+
 def test_compact_windows():
     r = np.random.default_rng(4)
     v, t = r.integers(0, 1 << 60, 500).astype(np.uint64), 20
