@@ -443,6 +443,33 @@ def test_a_missing_payload(spark, tmp_path):
         cut_file(path, path + ".cut", 0, 1)
 
 
+def test_binary_sends_no_contents_to_the_driver(spark, tmp_path):
+    from fathom.sources.binary import read_binary
+
+    folder = tmp_path / "in [1]"
+    folder.mkdir()
+    for k in range(6):
+        t = pa.table({"key": pa.array([k]), "raw": pa.array([bytes([k]) * (6 << 20)], pa.binary())})
+        write_groups(str(folder / f"{k}.mf4"), [("g", t, {})])
+
+    def sent():
+        jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    before = sent()
+    df = read_binary(spark, str(tmp_path / "in*"))
+    rows = df.selectExpr("key", "_record", "length(raw) n", "hex(substr(raw, 1, 1)) h", "_file").orderBy("key").collect()
+    assert [(r.key, r._record, r.n, r.h) for r in rows] == [(k, 0, 6 << 20, f"{k:02X}") for k in range(6)] and rows[3]._file.endswith("in [1]/3.mf4")
+    assert sent() - before < 1 << 20
+    (tmp_path / "bad").mkdir()
+    saved(tmp_path / "bad", b"no" * 64)
+    with pytest.raises(E.NotMdf):
+        read_binary(spark, str(tmp_path / "bad"))
+    with pytest.raises(E.NotFound):
+        read_binary(spark, str(tmp_path / "in*"), group="none")
+
+
 def test_names_of_the_package():
     import fathom
 
