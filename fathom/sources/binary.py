@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from fathom.errors import MdfError, NotFound
 from fathom.sources.blocks import Group, recording
 from fathom.sources.decode import column
-from fathom.sources.mdf4 import _arrow, batches, columns, names, pick, routed, whole_spans
+from fathom.sources.mdf4 import _arrow, batches, columns, fitting, names, pick, routed, whole_spans
 from fathom.sources.ranges import BytesRanges
 
 
@@ -59,10 +59,10 @@ def read_binary(spark: SparkSession, path: str, group: int | str = 0, channels:
                 reader = BytesRanges(content.as_buffer())
                 own = pick(recording(reader).groups, str(group))
                 by_name, done = dict(zip(names(own), own.channels)), 0
-                for rows in routed(reader, own) if own.mixed else batches(reader, own, whole_spans(own)):
+                wanted = [by_name.get(f.name) for f in list(fields)[2:]]
+                for rows in fitting(routed(reader, own) if own.mixed else batches(reader, own, whole_spans(own)), reader, own, wanted):
                     cols = [pa.array([file.as_py()] * len(rows)), pa.array(range(done, done + len(rows)), pa.int64())]
-                    for f in list(fields)[2:]:
-                        c = by_name.get(f.name)
+                    for f, c in zip(list(fields)[2:], wanted):
                         v = pa.nulls(len(rows), f.type) if c is None else column(c, rows, own, reader, raw)
                         cols.append(v if v.type == f.type else v.cast(f.type))
                     done += len(rows)

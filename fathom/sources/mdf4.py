@@ -33,9 +33,9 @@ from pyspark.sql.types import BinaryType, DataType, DecimalType, DoubleType, Lon
 
 from fathom.errors import BeyondEnd, CannotWrite, NotFound, WrongBlock
 from fathom.sources.blocks import Channel, Group, from_plain, recording
-from fathom.sources.decode import column, result_kind
+from fathom.sources.decode import PORTION, column, payload_sizes, portions, result_kind
 from fathom.sources.ranges import local, open_ranges
-from fathom.sources.writer import FileWriter, channel_for, layout, records
+from fathom.sources.writer import FileWriter, channel_for, layout, records, slices
 
 PART_RECORDS = 1 << 20
 BATCH = 65536
@@ -102,9 +102,14 @@ def rows_of(raw: bytes, g: Group) -> np.ndarray:
     return np.frombuffer(raw, np.uint8, n * g.record_size).reshape(n, g.record_size)
 
 
+def at_once(g: Group) -> int:
+    """How many records are decoded at once."""
+    return max(1, min(BATCH, PORTION // max(1, g.record_size)))
+
+
 def routed(reader, g: Group):
     """The records (n, size) of a group whose data holds records of several groups, found by their ids."""
-    kept, rest = [], b""
+    kept, rest, most = [], b"", at_once(g)
     for at, size in g.fragments:
         raw, i = rest + reader.read(at, size), 0
         while i + g.id_bytes <= len(raw):
@@ -115,7 +120,7 @@ def routed(reader, g: Group):
                 break
             if number == g.record_id:
                 kept.append(raw[i : i + width])
-                if len(kept) == BATCH:
+                if len(kept) == most:
                     yield rows_of(b"".join(kept), g)
                     kept = []
             i += width
@@ -126,9 +131,21 @@ def routed(reader, g: Group):
 
 def batches(reader, g: Group, spans):
     """Records (n, size) of ranges (offset, records) of a group."""
+    most = at_once(g)
     for at, n in spans:
-        for a in range(0, n, BATCH):
-            yield rows_of(reader.read(at + a * g.record_size, min(BATCH, n - a) * g.record_size), g)
+        for a in range(0, n, most):
+            yield rows_of(reader.read(at + a * g.record_size, min(most, n - a) * g.record_size), g)
+
+
+def fitting(parts, reader, g: Group, wanted: list[Channel | None]):
+    """Records in parts whose payloads in the wanted channels can be held at once."""
+    variable = [c for c in wanted if c is not None and c.variable]
+    for rows in parts:
+        if not variable:
+            yield rows
+            continue
+        for a, b in portions(sum(payload_sizes(c, rows, g.id_bytes, reader) for c in variable)):
+            yield rows[a:b]
 
 
 def whole_spans(g: Group) -> list[tuple[int, int]]:
@@ -176,7 +193,7 @@ class Reader(DataSourceReader):
         fields = pa.schema([(f.name, pa.int64() if f.name == "_record" else _arrow(f.dataType)) for f in self.fields])
         reader = open_ranges(partition.path)
         try:
-            for rows in routed(reader, g) if partition.spans is None else batches(reader, g, partition.spans):
+            for rows in fitting(routed(reader, g) if partition.spans is None else batches(reader, g, partition.spans), reader, g, wanted):
                 values = iter(wanted)
                 cols = [pa.array(np.arange(done, done + len(rows))) if f.name == "_record" else _cast(next(values), rows, g, reader, self.raw, f.type) for f in fields]
                 done += len(rows)
@@ -232,7 +249,8 @@ class Writer(DataSourceArrowWriter):
                     g = layout(channels, o.get("group_name"), o.get("group_comment"))
                     w = FileWriter(f, int(o.get("start_time_ns", 0)), int(o.get("tz_min", 0)), int(o.get("dst_min", 0)))
                     w.begin(g)
-                w.append(*records(g, b))
+                for part in slices(b):
+                    w.append(*records(g, part))
                 n += b.num_rows
             if w is not None:
                 w.finish()

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from fathom import errors as E
 from fathom.sources import mdf4
 from fathom.sources.blocks import Channel, Conversion, Group, Walk, recording
-from fathom.sources.decode import BAD_TEXT, column, floats, physical, raw_numbers, string
+from fathom.sources.decode import BAD_TEXT, column, floats, payload_sizes, physical, portions, raw_numbers, string
 from fathom.sources.files import cut_file, cut_file_utc, cut_files, merge_files
 from fathom.sources.index import Index, catalog, data_blocks, find_channel, list_groups, masters, to_ns
 from fathom.sources.layout import Layout
+from fathom.sources.mdf4 import Reader
 from fathom.sources.ranges import BytesRanges, CachedRanges, FileRanges, HttpRanges, MmapRanges
-from fathom.sources.writer import FileWriter, channel_for, layout, records, write_groups
+from fathom.sources.writer import FileWriter, channel_for, layout, records, slices, write_groups
 
 
 class Packer:
@@ -470,6 +471,37 @@ def test_binary_sends_no_contents_to_the_driver(spark, tmp_path):
         read_binary(spark, str(tmp_path / "in*"), group="none")
 
 
+def test_payloads_are_held_in_portions(tmp_path):
+    texts = [chr(97 + k % 26) * (k % 5 << 18) for k in range(80)]  # 40 MB
+    t = pa.table({"key": pa.array(range(80), pa.decimal128(20, 0)), "text": pa.array([None if k == 7 else x for k, x in enumerate(texts)])})
+    parts = list(slices(t.to_batches()[0]))
+    assert pa.Table.from_batches(parts) == t and len(parts) > 4 and max(sum(len(x) for x in p["text"].to_pylist() if x) for p in parts) <= 8 << 20
+    path = str(tmp_path / "x.mf4")
+    with open(path, "wb") as f:
+        w, g = FileWriter(f), layout([channel_for(x, {}) for x in t.schema])
+        w.begin(g)
+        for p in parts:
+            w.append(*records(g, p))
+        w.finish()
+        w.close()
+    g = recording(path).groups[0]
+    reader = Reader([(path, g)], mdf4.columns(g), False, 1000)
+    read = list(reader.read(reader.partitions()[0]))
+    assert max(b.nbytes for b in read) < 9 << 20 and pa.Table.from_batches(read).drop(["_record"]).to_pylist() == t.to_pylist()
+    assert pa.Table.from_batches(read)["_record"].to_pylist() == list(range(80))
+    keys = Reader([(path, g)], mdf4.columns(g, ["key"]), False, 1000)
+    assert [b.num_rows for b in keys.read(keys.partitions()[0])] == [80]  # no payload is wanted
+
+
+def test_payload_sizes_from_slots():
+    raw = b"".join(struct.pack("<I", n) + bytes(n) for n in (3, 0, 9))
+    c, source = Channel("x", kind=1, data_type=10, bits=64, payload=[(0, 10), (10, len(raw) - 10)]), BytesRanges(raw)
+    for slots, want in (([0, 7, 11], [7, 4, 13]), ([11, 0, 7, 11], [13, 7, 4, 13]), ([0], [7]), ([11, 99, 1 << 63], [13, 0, 0]), ([0, 11], [11, 13]), ([], [])):
+        rows = np.array(slots, "<u8").view(np.uint8).reshape(-1, 8)
+        assert payload_sizes(c, rows, 0, source).tolist() == want
+    assert list(portions(np.array([3, 3, 9, 1, 1, 0, 5]), 6)) == [(0, 2), (2, 3), (3, 6), (6, 7)] and not list(portions(np.zeros(0, int)))
+
+
 def test_names_of_the_package():
     import fathom
 
