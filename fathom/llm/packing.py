@@ -8,9 +8,13 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import islice
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,9 @@ class Ids:
     marks after them. The library encodes what is new, all such parts of a batch in
     one call: each is one pre-token, and only its last id is that of a word end.
     These parts come in lower case, composed, and in the letters that stand for
-    bytes, so for them the library leaves its normalizer and patterns out.
+    bytes, so for them the library leaves its normalizer and patterns out. A part
+    is a word itself, so it is remembered as one. When there are too many words,
+    those that came in two calls or more since the last time stay.
     """
 
     _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
@@ -40,7 +46,7 @@ class Ids:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {b"": b""}
+        self.tokenizer, self.known, self.again = Tokenizer.from_file(path), {b"": b""}, set()
         self.parted = Tokenizer.from_file(path)
         self.parted.normalizer, self.parted.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -50,20 +56,29 @@ class Ids:
             self.ends[i] = token.endswith("</w>")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        if not texts:
+            return []
+        if len(self.known) > CACHE:
+            self.known, self.again = {b"": b""} | {w: self.known[w] for w in islice(self.again, CACHE // 2)}, set()
+        split = pc.ascii_split_whitespace(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words, known = coded.dictionary.view(pa.large_binary()).to_pylist(), self.known
+        new = {w for w in words if w not in known}
+        self.again.update(w for w in words if w not in new)
+        self._learn(new)
+        flat = pa.array(list(map(known.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], "<i8", len(flat) + 1)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(flat.buffers()[2] or b"")
+        return [raw[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        if len(known) + len(self.parts) > CACHE:
-            known.clear()
-            self.parts = {b"": b""}
-        self._learn([w for w in set().union(*split) if w not in known])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, parts = self.known, self.parts
+        bare = [w for w in words if w.isalpha()]  # of bytes: ASCII letters
+        lower = b" ".join(bare).lower().split()
         plain, cores, marks, other = [], [], [], []
-        for w in words:
+        for w in words.difference(bare):
             a = w.rstrip(self._MARKS)
-            if a.isalpha():  # of bytes: ASCII letters
+            if a.isalpha():
                 plain.append(w)
                 cores.append(a)
                 marks.append(w[len(a) :])
@@ -75,17 +90,16 @@ class Ids:
             else:
                 other.append(w)
         cores = b"\n".join(cores).decode().lower().encode().split(b"\n")
-        new = [x for x in {*cores, *marks} if x not in parts]
+        new = list({*lower, *cores, *marks}.difference(known))
         if new:
             new.sort(key=bytes.isascii)  # so that few calls hold other letters, which are slow to replace
             some = [b" ".join(new[k : k + 100]).decode() for k in range(0, len(new), 100)]
             some = [x if x.isascii() else x.translate(self.letters) for x in some]
             ids = np.concatenate([np.array(e.ids, "<u4") for e in self.parted.encode_batch_fast(some, add_special_tokens=False)])
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-                parts[part], at = raw[at:end], end
-        for w, a, b in zip(plain, cores, marks):
-            known[w] = parts[a] + parts[b]
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            known.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        known.update(zip(bare, map(known.__getitem__, lower), strict=True))
+        known.update(zip(plain, map(add, map(known.__getitem__, cores), map(known.__getitem__, marks))))
         for at in range(0, len(other), 2000):
             some = other[at : at + 2000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):

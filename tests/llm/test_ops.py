@@ -250,3 +250,18 @@ def test_packing_replaces_letters_only_where_there_are_others():
     raw = ids.encode([" ".join(words)])[0]
     assert np.frombuffer(raw, "<u4").tolist() == Tokenizer.from_file(path).encode(" ".join(words), add_special_tokens=False).ids
     assert 0 < Counted.asked < 2000
+
+
+def test_packing_ids_when_words_are_forgotten(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE", 120)
+    ids, whole, learned = packing.Ids(path), Tokenizer.from_file(path), []
+    learn = ids._learn
+    ids._learn = lambda words: (learned.extend(words), learn(words))[1]
+    often = ["the", "River,", "\u00c9t\u00e9", "x1y"]
+    calls = [[" ".join([*often, *(f"{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}{c * (k % 7 + 1)}" for k in range(60))]), "", " \t", "a\x0b b\x0cc\r\nd  \x00e "] for c in "uvwxyz" * 2]
+    for texts in calls:
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(ids.known) <= 120 + 70 + 70
+    assert all(learned.count(w.encode()) == 1 for w in often)
+    assert ids.encode([]) == [] and ids.encode(["", " "]) == [b"", b""]
